@@ -13,8 +13,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from netmetrics.llm import common as c
 
@@ -272,9 +274,6 @@ def matches(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> Dat
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
     """The documents, all columns, without those that share a window with the benchmark; judged where they are read."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     def clean(q: Queries):
         @F.pandas_udf("boolean")
         def judged(text: pd.Series) -> pd.Series:

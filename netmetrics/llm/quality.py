@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,8 +103,6 @@ def quality(documents: DataFrame) -> DataFrame:
 
 def keep_quality(documents: DataFrame) -> DataFrame:
     """The documents, all columns, that quality() keeps. Each row is judged where it is read: no join."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def kept(text: pd.Series) -> pd.Series:
         batch = pa.RecordBatch.from_arrays([pa.nulls(len(text), pa.int64()), pa.Array.from_pandas(text, type=pa.string())], ["doc_id", "text"])

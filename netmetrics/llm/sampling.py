@@ -16,12 +16,11 @@ def bounded(ids: DataFrame, rows: int, by: str | None = None) -> DataFrame:
 
     The count is exact and over all rows; the sample is all rows as long as there are no more than ``rows``.
     """
-    total = {r[0]: r[1] for r in ids.groupBy(F.col(by) if by else F.lit(0)).count().collect()}
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_000))
     if not by:
-        n = sum(total.values())
+        n = ids.count()
         return ids if n <= rows else ids.where(draw < int(1_000_000 * rows / n))
     keep = F.lit(False)
-    for value, n in total.items():
+    for value, n in (tuple(r) for r in ids.groupBy(by).count().collect()):
         keep = keep | ((F.col(by) == value) & (draw < (1_000_000 if n <= rows else int(1_000_000 * rows / n))))
     return ids.where(keep)

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,38 +81,94 @@ class Pieces:
         return [t.id for t in self.model.tokenize(pretoken.encode("utf-8", "replace").decode("latin-1").translate(self.letters))]
 
 
-def _blocks(path: str):
+class Places(dict):
+    """pre-token -> its number, by first use."""
+
+    def __missing__(self, pretoken: str) -> int:
+        out = self[pretoken] = len(self)
+        return out
+
+
+def _planes(x: np.ndarray, pack) -> bytes:
+    """32-bit numbers, compressed byte plane by byte plane."""
+    return pack(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _blocks(path: str, fragments: int):
+    """For each block a row with its matrix, and a row for each fragment with the distinct pre-tokens it has there."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, common = Splitter(path), uuid.uuid4().hex
+        split, common, pack = Splitter(path), uuid.uuid4().hex, zstandard.ZstdCompressor(level=1).compress
         for k, b in enumerate(c.blocks(batches, limit=BLOCK)):
-            place: dict[str, int] = {}
+            place = Places()
+            number = place.__getitem__
             cols, counts, ends, sizes = [], [], [], []
             for text in b.column("text").to_pylist():
                 text = text or ""
                 sizes.append(len(text.encode("utf-8", "replace")))
-                ids = np.fromiter((place.setdefault(x, len(place)) for x in split(text)), np.int32)
+                ids = np.fromiter(map(number, split(text)), np.int32)
                 own, n = np.unique(ids, return_counts=True)
-                cols.append(own.astype(np.int32))
-                counts.append(n.astype(np.int32))
+                cols.append(np.diff(own, prepend=0))
+                counts.append(n)
                 ends.append(len(own))
-            big = [np.concatenate(x) if x else np.zeros(0, np.int32) for x in (cols, counts)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f"{common}-{k}"]), pa.array([b.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int32())), pa.array([list(place)], pa.list_(pa.string())), *(pa.array([x.tobytes()], pa.binary()) for x in big)],
-                ["block", "doc_ids", "n_bytes", "row_sizes", "pretokens", "columns", "counts"],
-            )
+            words = list(place)
+            to = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words), np.uint64, len(words)) % np.uint64(fragments)
+            order = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[order], np.arange(fragments + 1))
+            block, none, nil = f"{common}-{k}", None, np.zeros(0, np.int64)
+            rows = []
+            for f in range(fragments):
+                if cut[f] < cut[f + 1]:
+                    own = [words[i] for i in order[cut[f] : cut[f + 1]]]
+                    rows.append((block, f, _framed([pack("".join(own).encode("utf-8", "replace")), _planes(np.array([*map(len, own)]), pack)]), none, none, none, none))
+            matrix = pack(_framed([_planes(x, pack) for x in (order, np.concatenate([*cols, nil]), np.concatenate([*counts, nil]))]))
+            rows.append((block, -1, none, b.column("doc_id").to_pylist(), sizes, ends, matrix))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()), strict=True)], ["block", "fragment", "words", "doc_ids", "n_bytes", "row_sizes", "matrix"])
 
     return scan
 
 
-BLOCK_SCHEMA = "block string, doc_ids array<long>, n_bytes array<long>, row_sizes array<int>, pretokens array<string>, columns binary, counts binary"
+def _framed(parts: list[bytes]) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def _unframed(raw: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(raw):
+        n = int.from_bytes(raw[at : at + 8], "little")
+        out.append(raw[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+BLOCK_SCHEMA = "block string, fragment int, words binary, doc_ids array<long>, n_bytes array<long>, row_sizes array<long>, matrix binary"
 
 
 def _pieces(path: str):
+    """Fragment by fragment (rows come sorted): the pieces of each distinct pre-token, once, for all blocks that have it."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces, pack, unpack = Pieces(path), zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor()
+        known: dict[str, int] = {}
+        at = None
         for b in batches:
-            n = [len(pieces(x)) for x in b.column("pretoken").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("pretoken"), pa.array(n, pa.int32())], ["pretoken", "pieces"])
+            out = []
+            for f, raw in zip(b.column("fragment").to_pylist(), b.column("words").to_pylist(), strict=True):
+                if f != at:
+                    at, known = f, {}
+                joined, lengths = _unframed(raw)
+                joined, ends = unpack.decompress(joined).decode(), np.cumsum(_numbers(lengths)).tolist()
+                words = [joined[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+                for w in words:
+                    if w not in known:
+                        known[w] = len(pieces(w))
+                out.append(_planes(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), pack))
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("fragment"), pa.array(out, pa.binary())], ["block", "fragment", "pieces"])
 
     return count
 
@@ -123,21 +181,29 @@ def token_counts(documents: DataFrame, path: str | None = None, limit: int = COU
     path, spark = path or default_path(), documents.sparkSession
     folder = c.shared_dir(spark)
     df = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
-    made = c.written(df.mapInArrow(_blocks(path), BLOCK_SCHEMA), folder, "blocks")
-    uses = made.select("block", F.posexplode("pretokens").alias("place", "pretoken"))
-    pieces = uses.select("pretoken").distinct().mapInArrow(_pieces(path), "pretoken string, pieces int")
-    # one row a block and pre-token: a block's list comes back in its own order
-    back = uses.join(pieces, "pretoken").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "pieces"))).alias("found"))
-    back = back.select("block", F.col("found.pieces").alias("pieces"))
+    fragments = c.partitions(spark)
+    made = c.written(df.mapInArrow(_blocks(path, fragments), BLOCK_SCHEMA), folder, "blocks")
+    words = made.where("fragment >= 0").select("block", "fragment", "words")
+    pieces = words.repartition(fragments, "fragment").sortWithinPartitions("fragment").mapInArrow(_pieces(path), "block string, fragment int, pieces binary")
+    back = pieces.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("fragment", "pieces"))).alias("found"))
+    matrix = made.where("fragment = -1").drop("fragment", "words")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            for r in b.to_pylist():
-                pieces, sizes = np.array(r["pieces"] or [], np.int64), np.array(r["row_sizes"], np.int64)
-                value = pieces[np.frombuffer(r["columns"], np.int32)] * np.frombuffer(r["counts"], np.int32) if len(pieces) else np.zeros(0, np.int64)
+            for i in range(b.num_rows):
+                sizes = b.column("row_sizes")[i].values.to_numpy()
+                order, cols, counts = map(_numbers, _unframed(unpack.decompress(b.column("matrix")[i].as_py())))
+                found = b.column("found")[i].as_py() or []
+                n_pieces = np.zeros(len(order), np.int64)
+                n_pieces[order] = np.concatenate([np.zeros(0, np.int64), *(_numbers(x["pieces"]) for x in found)])
                 ends = np.cumsum(sizes)
-                run = np.concatenate([[0], np.cumsum(value)])
-                n = run[ends] - run[ends - sizes]
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(r["n_bytes"], pa.int64()), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    return made.drop("pretokens").join(back, "block", "left").mapInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+                begin = ends - sizes
+                run = np.cumsum(cols)  # differences begin anew with each document
+                before = np.concatenate([[0], run])[begin]
+                value = n_pieces[run - np.repeat(before, sizes)] * counts if len(run) else run
+                sums = np.concatenate([[0], np.cumsum(value)])
+                n = sums[ends] - sums[begin]
+                yield pa.RecordBatch.from_arrays([b.column("doc_ids")[i].values, b.column("n_bytes")[i].values, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+    return matrix.join(back, "block", "left").mapInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -11,6 +11,7 @@ sequences, and pieces find their place by their rank among the pieces of their l
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ class Ids(dict):
     def __missing__(self, pretoken: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        out = self[pretoken] = np.array(self.pieces(pretoken), "<u4").tobytes()
+        out = self[pretoken] = array("I", self.pieces(pretoken)).tobytes()
         return out
 
 

@@ -10,6 +10,7 @@ components, so no group costs all its pairs and no link is lost.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -28,6 +29,8 @@ N, PERCENT = 5, 75
 SKETCH, SKETCH_BLOCKS = 22, 64
 #: Classes in a shingle's list of which all pairs are counted at once.
 SMALL_LIST = 12
+#: Partners, by list, of a class that the first links left apart, before all its partners are looked at.
+FEW = 48
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -211,6 +214,12 @@ def _fragment(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         own = np.flatnonzero(entry & (np.arange(len(g)) != center))
         left.append(center[own])
         right.append(own)
+        # and to a neighbour of like size, another one in each list, so that what is not near the least class is near others
+        rung = np.floor(np.log(n[entry]) / np.log(100 / PERCENT) * 2).astype(np.int64)
+        line = np.flatnonzero(entry)[np.lexsort((c.mixed(cid[entry].view(c.U64) ^ g[entry]), rung, g[entry]))]
+        x, y = line[:-1][g[line][1:] == g[line][:-1]], line[1:][g[line][1:] == g[line][:-1]]
+        left.append(np.where(cid[x] < cid[y], x, y))
+        right.append(np.where(cid[x] < cid[y], y, x))
     if left:
         i, j = np.concatenate(left), np.concatenate(right)
         fits = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
@@ -229,8 +238,11 @@ def _fragment(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield _found(2, who, x=many)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Long lists again, by component: pairs of classes that no link has joined yet and that can still be similar."""
+def _across(batches: Iterator[pa.RecordBatch], most: int = 0) -> Iterator[pa.RecordBatch]:
+    """Long lists again, by component: pairs of classes that no link has joined yet and that can still be similar.
+
+    With ``most``, at most so many for each class outside its list's largest component, drawn by hash.
+    """
     held: list[tuple] = []
     at = None
 
@@ -241,6 +253,17 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(n, kind="stable")
         cid, comp, n, place = cid[order], comp[order], n[order], place[order]
         ends = np.searchsorted(n, 100 * n // PERCENT, "right")
+        if most:
+            begins = np.searchsorted(n, -(-PERCENT * n // 100), "left")
+            names, size = np.unique(comp, return_counts=True)
+            for i in np.flatnonzero(comp != names[size.argmax()]):
+                j = np.arange(begins[i], ends[i])
+                j = j[(comp[j] != comp[i]) & can_link(n[i], place[i], n[j], place[j])]
+                if len(j) > most:
+                    j = j[np.argpartition(c.mixed((cid[j] ^ cid[i]).view(c.U64)), most)[:most]]
+                if len(j):
+                    yield _found(0, np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j]))
+            return
         for i in range(len(n) - 1):  # a row's partners are the larger sets up to n / 0.75: one vector at a time
             j = np.arange(i + 1, ends[i])
             j = j[(comp[j] != comp[i]) & can_link(n[i], place[i], n[j], place[j])]
@@ -319,12 +342,16 @@ def similar_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     links = verify(c.written(by_rep(hopeful), folder, "pairs"), texts, folder, "first")
     entries = found.where("kind = 1").select("a", "na", "x", "key")
     if not entries.isEmpty():
-        near = components(links, folder, "near")  # (node, component)
-        of = rep.join(near, F.col("rep") == F.col("node"), "left").select("a", F.coalesce("component", "rep").alias("component"))
-        again = entries.join(of, "a").repartition(parts, "key").sortWithinPartitions("key")
-        rest = c.written(by_rep(again.mapInArrow(_across, FOUND).select("a", "b").distinct()), folder, "rest")
-        if not rest.isEmpty():
-            links = links.unionByName(verify(rest, texts, folder, "second"))
+        # first a few partners of each class that is still apart, so that almost all that belong to a large component join
+        # it; then all pairs of classes whose components still differ
+        for most, name in ((FEW, "some"), (0, "rest")):
+            near = components(links, folder, f"near-{name}")
+            of = rep.join(near, F.col("rep") == F.col("node"), "left").select("a", F.coalesce("component", "rep").alias("component"))
+            again = entries.join(of, "a").repartition(parts, "key").sortWithinPartitions("key")
+            pairs = again.mapInArrow(functools.partial(_across, most=most), FOUND).select("a", "b").distinct()
+            pairs = c.written(by_rep(pairs), folder, name)
+            if not pairs.isEmpty():
+                links = links.unionByName(verify(pairs, texts, folder, name))
     return sets, classes, links
 
 

@@ -10,6 +10,7 @@ Rules that hold for all operators here:
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -57,10 +58,16 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and a lost executor costs nothing that was written."""
     path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nobody refers to any more, instead of whenever the JVM collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of tables that no later step reads."""
     jvm = spark.sparkContext._jvm

@@ -394,6 +394,8 @@ def repeated_bytes(documents: DataFrame) -> DataFrame:
     marks = sent.repartition(parts, "fragment").sortWithinPartitions("fragment").mapInArrow(_compare(BUCKET), MARKS)
     lists = marks.groupBy("k", "tag").agg(F.collect_list(F.struct("kind", "m", "p", "n")).alias("marks"))
     cut = c.written(own.join(lists, ["k", "tag"], "left").select("k", "tag", "doc_id", "text", "marks").mapInArrow(_cut, _CUT), folder, "cut")
+    del sent, marks, lists
+    c.release(spark)
     windows = cut.where(F.size("windows") > 0).select("k", "tag", F.explode("windows").alias("w")).select(F.col("w.key").alias("key"), "k", "tag", F.col("w.p").alias("p"), F.col("w.text").alias("text"))
     found = windows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_windows, "k long, tag int, p long, n long")
     more = found.groupBy("k", "tag").agg(F.collect_list(F.struct("p", "n")).alias("more"))

@@ -292,6 +292,17 @@ def _order(sa: np.ndarray, left: np.ndarray, group: np.ndarray, s: np.ndarray, e
     return lcp
 
 
+def _united(k: np.ndarray, tag: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same bytes of each document in as few intervals as can be: nested and overlapping repeats are one."""
+    order = np.lexsort((p, tag, k))
+    k, tag, p, end = k[order], tag[order], p[order], (p + n)[order]
+    doc = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]) | (tag[1:] != tag[:-1])])) * (int(end.max(initial=0)) + 1)
+    far = np.maximum.accumulate(end + doc)
+    first = np.flatnonzero(np.concatenate([[True], p[1:] + doc[1:] > far[:-1]]))
+    last = np.append(first[1:], len(p)) - 1
+    return k[first], tag[first], p[first], (far - doc)[last] - p[first]
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, k, tag, p, text) sorted by key: stretches of a bucket with their text, or single windows without.
 
@@ -320,7 +331,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 o = np.lexsort((tag[i], begin, k[i]))[1:]  # the first occurrence stays
                 out.append((k[i][o], tag[i][o].astype(np.int32), begin[o], np.full(len(o), n)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["k", "tag", "p", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _united(*(np.concatenate(x) for x in zip(*out, strict=True)))], ["k", "tag", "p", "n"])
 
     for b in batches:
         for row in zip(*(x.to_pylist() for x in b.columns), strict=True):

@@ -252,8 +252,10 @@ def repeats(bucket: np.ndarray, data: np.ndarray, off: np.ndarray, length: int =
     low, high = np.minimum.reduceat(left, start) if len(start) else left, np.maximum.reduceat(left, start) if len(start) else left
     use = np.repeat((size > 1) & ((low < 0) | (low != high)), size)
     sa, left, group = order[use], left[use], np.repeat(np.arange(len(size)), size)[use]
+    if not len(sa):
+        return
     lcp = _order(sa, left, group, s, off[owner + 1], data, length)
-    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     for a, z in zip(begin, np.append(begin[1:], len(group)), strict=True):
         members = sa[a:z]
         for n, first, last in interval_tree(lcp[a:z].tolist(), left[a:z].tolist(), length):

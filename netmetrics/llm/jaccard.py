@@ -31,6 +31,8 @@ SKETCH, SKETCH_BLOCKS = 22, 64
 SMALL_LIST = 12
 #: Partners, by list, of a class that the first links left apart, before all its partners are looked at.
 FEW = 48
+#: At most so many turns of that.
+TURNS = 2
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -238,10 +240,10 @@ def _fragment(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield _found(2, who, x=many)
 
 
-def _across(batches: Iterator[pa.RecordBatch], most: int = 0) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], most: int = 0, turn: int = 0) -> Iterator[pa.RecordBatch]:
     """Long lists again, by component: pairs of classes that no link has joined yet and that can still be similar.
 
-    With ``most``, at most so many for each class outside its list's largest component, drawn by hash.
+    With ``most``, at most so many for each class outside its list's largest component, drawn by hash anew each turn.
     """
     held: list[tuple] = []
     at = None
@@ -260,7 +262,7 @@ def _across(batches: Iterator[pa.RecordBatch], most: int = 0) -> Iterator[pa.Rec
                 j = np.arange(begins[i], ends[i])
                 j = j[(comp[j] != comp[i]) & can_link(n[i], place[i], n[j], place[j])]
                 if len(j) > most:
-                    j = j[np.argpartition(c.mixed((cid[j] ^ cid[i]).view(c.U64)), most)[:most]]
+                    j = j[np.argpartition(c.mixed((cid[j] ^ cid[i]).view(c.U64) + c.U64(turn)), most)[:most]]
                 if len(j):
                     yield _found(0, np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j]))
             return
@@ -340,18 +342,25 @@ def similar_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
         return x.select(F.least("ra", "rep").alias("a"), F.greatest("ra", "rep").alias("b")).distinct()
 
     links = verify(c.written(by_rep(hopeful), folder, "pairs"), texts, folder, "first")
-    entries = found.where("kind = 1").select("a", "na", "x", "key")
-    if not entries.isEmpty():
-        # first a few partners of each class that is still apart, so that almost all that belong to a large component join
-        # it; then all pairs of classes whose components still differ
-        for most, name in ((FEW, "some"), (0, "rest")):
-            near = components(links, folder, f"near-{name}")
-            of = rep.join(near, F.col("rep") == F.col("node"), "left").select("a", F.coalesce("component", "rep").alias("component"))
-            again = entries.join(of, "a").repartition(parts, "key").sortWithinPartitions("key")
-            pairs = again.mapInArrow(functools.partial(_across, most=most), FOUND).select("a", "b").distinct()
-            pairs = c.written(by_rep(pairs), folder, name)
-            if not pairs.isEmpty():
-                links = links.unionByName(verify(pairs, texts, folder, name))
+    entries = found.where("kind = 1").join(rep, "a").select(F.col("rep").alias("a"), "na", "x", "key")
+    if not found.where("kind = 1").isEmpty():
+        entries = c.written(entries, folder, "entries")
+        # a few partners of each class that is still apart, turn by turn, so that what belongs to a large component joins it;
+        # then all pairs of classes whose components still differ
+        turns = [(FEW, k) for k in range(1, TURNS + 1)] + [(0, 0)]
+        while turns:
+            most, turn = turns.pop(0)
+            name = f"turn-{turn}"
+            near = components(links, folder, f"near-{turn}").withColumnRenamed("node", "a")
+            again = entries.join(near, "a", "left").withColumn("component", F.coalesce("component", "a")).repartition(parts, "key").sortWithinPartitions("key")
+            pairs = again.mapInArrow(functools.partial(_across, most=most, turn=turn), FOUND).select("a", "b").distinct()
+            pairs = c.written(pairs, folder, name)
+            if pairs.isEmpty():
+                break  # no two components meet in a list
+            new = verify(pairs, texts, folder, name)
+            if most and new.isEmpty():
+                turns = turns[-1:]
+            links = links.unionByName(new)
     return sets, classes, links
 
 

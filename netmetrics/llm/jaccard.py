@@ -33,6 +33,8 @@ SMALL_LIST = 12
 FEW = 48
 #: At most so many turns of that.
 TURNS = 2
+#: Bits of a class's parity bitmap, which bounds overlaps from above; larger sets are pruned less, never wrongly.
+BITS = 2048
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -240,41 +242,50 @@ def _fragment(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield _found(2, who, x=many)
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first hash of each document's set, and of each of BITS bits whether an odd number of its shingles falls on it."""
+    for b in c.blocks(batches):
+        g, begin = shingles(*c.utf8(b.column("text")))
+        docs = len(begin) - 1
+        odd = np.zeros(docs * BITS, np.uint8)
+        np.bitwise_xor.at(odd, np.repeat(np.arange(docs), np.diff(begin)) * BITS + (c.mixed(g ^ c.U64(0x5EED)) % c.U64(BITS)).astype(np.int64), 1)
+        rows = np.packbits(odd.reshape(docs, BITS), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(set_hashes(g, begin)[0]), pa.array([r.tobytes() for r in rows], pa.binary())], ["a", "bits"])
+
+
 def _across(batches: Iterator[pa.RecordBatch], most: int = 0, turn: int = 0) -> Iterator[pa.RecordBatch]:
     """Long lists again, by component: pairs of classes that no link has joined yet and that can still be similar.
 
+    Bits in which two bitmaps differ are shingles that only one set has: pairs with too many of them are none.
+
     With ``most``, at most so many for each class outside its list's largest component, drawn by hash anew each turn.
     """
     held: list[tuple] = []
     at = None
 
     def pairs() -> Iterator[pa.RecordBatch]:
-        cid, comp, n, place = (np.concatenate(x) for x in zip(*held, strict=True))
-        if len(np.unique(comp)) < 2:
+        cid, comp, n, place, bits = (np.concatenate(x) for x in zip(*held, strict=True))
+        names, size = np.unique(comp, return_counts=True)
+        if len(names) < 2:
             return
         order = np.argsort(n, kind="stable")
-        cid, comp, n, place = cid[order], comp[order], n[order], place[order]
+        cid, comp, n, place, bits = cid[order], comp[order], n[order], place[order], bits[order]
+        begins = np.searchsorted(n, -(-PERCENT * n // 100), "left")
         ends = np.searchsorted(n, 100 * n // PERCENT, "right")
-        if most:
-            begins = np.searchsorted(n, -(-PERCENT * n // 100), "left")
-            names, size = np.unique(comp, return_counts=True)
-            for i in np.flatnonzero(comp != names[size.argmax()]):
-                j = np.arange(begins[i], ends[i])
-                j = j[(comp[j] != comp[i]) & can_link(n[i], place[i], n[j], place[j])]
-                if len(j) > most:
-                    j = j[np.argpartition(c.mixed((cid[j] ^ cid[i]).view(c.U64) + c.U64(turn)), most)[:most]]
-                if len(j):
-                    yield _found(0, np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j]))
-            return
-        for i in range(len(n) - 1):  # a row's partners are the larger sets up to n / 0.75: one vector at a time
-            j = np.arange(i + 1, ends[i])
+        for i in np.flatnonzero(comp != names[size.argmax()]):  # of two components one at least is not the largest
+            j = np.arange(begins[i], ends[i])
             j = j[(comp[j] != comp[i]) & can_link(n[i], place[i], n[j], place[j])]
+            differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            j = j[n[i] + n[j] - differ >= 2 * needed(n[i], n[j])]
+            if most and len(j) > most:
+                j = j[np.argpartition(c.mixed((cid[j] ^ cid[i]).view(c.U64) + c.U64(turn)), most)[:most]]
             if len(j):
                 yield _found(0, np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j]))
 
     for b in batches:
         key = b.column("key").to_numpy()
         columns = [b.column(x).to_numpy() for x in ("a", "component", "na", "x")]
+        columns.append(np.frombuffer(b"".join(b.column("bits").to_pylist()), c.U64).reshape(-1, BITS // 64))
         start, size = _lists(key)
         for s, m in zip(start, size, strict=True):
             if key[s] != at and held:
@@ -306,18 +317,18 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, folder: str, name: str) -> DataFrame:
-    """The pairs (a, b) of document keys whose word sets are similar enough. Texts of the documents in pairs only are sent on."""
+    """The pairs (a, b) of document keys whose word sets are similar enough. Texts of the documents in pairs only are sent on.
+
+    All texts of a repeated key are tried, as they are one document.
+    """
     ids = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    own = c.written(texts.join(ids.hint("shuffle_hash"), "k").dropDuplicates(["k"]), folder, f"{name}-texts")
+    own = c.written(texts.join(ids.hint("shuffle_hash"), "k").dropDuplicates(["k", "text"]), folder, f"{name}-texts")
     both = pairs.join(own.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b").join(own.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a")
-    return c.written(both.mapInArrow(_verified, "a long, b long"), folder, f"{name}-links")
+    return c.written(both.mapInArrow(_verified, "a long, b long").distinct(), folder, f"{name}-links")
 
 
 def similar_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sets, classes, links): (k, s1, s2, n) of each row; (s1, s2, n, rep) of each set; (a, b) that link classes' reps.
-
-    links joins all classes of a component, without all pairs of it.
-    """
+    """(sets, classes, near): (k, s1, s2, n) of each row; (s1, s2, n, rep) of each set; (node, component) of linked reps."""
     spark = documents.sparkSession
     folder, parts = c.shared_dir(spark), c.partitions(spark)
     texts = documents.select(c.key().alias("k"), F.coalesce(documents["text"].cast("string"), F.lit("")).alias("text"))
@@ -342,26 +353,29 @@ def similar_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
         return x.select(F.least("ra", "rep").alias("a"), F.greatest("ra", "rep").alias("b")).distinct()
 
     links = verify(c.written(by_rep(hopeful), folder, "pairs"), texts, folder, "first")
-    entries = found.where("kind = 1").join(rep, "a").select(F.col("rep").alias("a"), "na", "x", "key")
+    near = c.written(components(links, folder, "near"), folder, "near")
     if not found.where("kind = 1").isEmpty():
-        entries = c.written(entries, folder, "entries")
+        some = found.where("kind = 2").select("a").join(rep, "a").select(F.col("rep").alias("k"))
+        bits = texts.join(some.distinct(), "k", "left_semi").mapInArrow(_bits, "a long, bits binary").dropDuplicates(["a"])
+        entries = found.where("kind = 1").select("a", "na", "x", "key").join(rep, "a").join(c.written(bits, folder, "bits"), "a")
+        entries = c.written(entries.select(F.col("rep").alias("a"), "na", "x", "key", "bits"), folder, "entries")
         # a few partners of each class that is still apart, turn by turn, so that what belongs to a large component joins it;
         # then all pairs of classes whose components still differ
         turns = [(FEW, k) for k in range(1, TURNS + 1)] + [(0, 0)]
         while turns:
             most, turn = turns.pop(0)
             name = f"turn-{turn}"
-            near = components(links, folder, f"near-{turn}").withColumnRenamed("node", "a")
-            again = entries.join(near, "a", "left").withColumn("component", F.coalesce("component", "a")).repartition(parts, "key").sortWithinPartitions("key")
+            again = entries.join(near.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a")).repartition(parts, "key").sortWithinPartitions("key")
             pairs = again.mapInArrow(functools.partial(_across, most=most, turn=turn), FOUND).select("a", "b").distinct()
             pairs = c.written(pairs, folder, name)
             if pairs.isEmpty():
                 break  # no two components meet in a list
             new = verify(pairs, texts, folder, name)
-            if most and new.isEmpty():
-                turns = turns[-1:]
-            links = links.unionByName(new)
-    return sets, classes, links
+            if new.isEmpty():
+                turns = turns[-1:] if most else []
+            else:
+                near = components(new, folder, f"{name}-near", near)
+    return sets, classes, near
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -370,13 +384,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     Rows without words are components of their own. Rows that repeat a doc_id share it as one node of the graph. A null
     doc_id is the smallest; a component that has it shows null.
     """
-    sets, classes, links = similar_classes(documents)
+    sets, classes, near = similar_classes(documents)
     folder = c.shared_dir(documents.sparkSession)
     if not sets.where("n > 0").groupBy("k").count().where("count > 1").isEmpty():
         # rows of one doc_id with different texts are one document: its classes hang together
         twice = sets.where("n > 0").join(classes, ["s1", "s2", "n"]).where("k != rep").select(F.col("rep").alias("a"), F.col("k").alias("b"))
-        links = links.unionByName(twice.select("a", "b").distinct())
-    near = components(links, folder, "all")
+        near = components(twice.select("a", "b").distinct(), folder, "all", near)
     of = classes.join(near, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     out = sets.join(of, ["s1", "s2", "n"], "left").withColumn("component", F.coalesce("component", "k"))
     null = F.lit(c.NULL_KEY)

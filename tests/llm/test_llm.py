@@ -305,3 +305,15 @@ def test_pipeline(spark, rows, tmp_path):
     windows = {" " + " ".join(w[k : k + 10]) + " " for k in range(len(w) - 9)}
     left = {d: t for d, t in left.items() if not any(x in " " + " ".join(word.findall(t.translate(AZ))) + " " for x in windows)}
     check_packed(pipeline.run(spark, f"file://{tmp_path}").collect(), brute_pieces(left))
+
+
+def test_parity_bitmaps_bound_overlaps():
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(w if rng.random() > d % 9 / 100 else f"n{rng.random()}" for w in base[: 100 + 40 * (d % 8)]) for d in range(40)]
+    out = next(jaccard._bits(iter([jaccard.pa.RecordBatch.from_pydict({"k": list(range(40)), "text": texts})])))
+    bits = np.frombuffer(b"".join(out.column("bits").to_pylist()), np.uint64).reshape(40, -1)
+    sets = [jaccard.word_set(t) for t in texts]
+    for a in range(40):
+        for b in range(a):
+            assert int(np.bitwise_count(bits[a] ^ bits[b]).sum()) <= len(sets[a] ^ sets[b])

@@ -305,10 +305,11 @@ def word_set(text: str, n: int = N) -> set[tuple[str, ...]]:
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         a, z = b.column("a").to_pylist(), b.column("b").to_pylist()
-        ta, tb, out, last = b.column("ta"), b.column("tb"), [], (None, None)
+        ta, tb, out, last = b.column("ta"), b.column("tb"), [], (None, set())
         for i in range(b.num_rows):
-            if last[0] != a[i]:
-                last = (a[i], word_set(ta[i].as_py()))
+            t = ta[i].as_py()
+            if last[0] != t:  # a repeated id has several texts
+                last = (t, word_set(t))
             x, y = last[1], word_set(tb[i].as_py())
             both = len(x & y)
             out.append(100 * both >= PERCENT * (len(x) + len(y) - both))

@@ -317,3 +317,10 @@ def test_parity_bitmaps_bound_overlaps():
     for a in range(40):
         for b in range(a):
             assert int(np.bitwise_count(bits[a] ^ bits[b]).sum()) <= len(sets[a] ^ sets[b])
+
+
+def test_jaccard_repeated_id_with_other_text(spark):
+    x, y = (" ".join(f"{p}{k}" for k in range(80)) for p in "xy")
+    df = spark.createDataFrame([(5, x), (5, y), (7, x + " end"), (9, y + " end"), (11, "alone here")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (11, 11)}

@@ -1,9 +1,10 @@
 """Toxicity by compression distance: windows of a text compressed with a dictionary of toxic and one of ordinary text.
 
-Both dictionaries begin with the same trained zstandard content of ordinary text. The toxic one goes on with content
-trained on what is typical of toxic text, the ordinary one with as many bytes that match nothing, so a clean window costs
-the same with either and only toxic material makes a difference. The savings of a text's windows become a score by a
-logistic curve, calibrated on training rows that made no dictionary.
+Both dictionaries begin with the same trained zstandard content of ordinary text. The toxic one goes on with the words of
+the toxic rows, weighted by how many rows have them and by their smoothed log-odds against ordinary rows, the ordinary one
+with as many bytes that match nothing, so a clean window costs the same with either and only toxic material makes a
+difference. The savings of a text's windows become a score by a logistic curve, calibrated on training rows that made no
+dictionary. How many of the weighted words the dictionary holds, up to all of them, is chosen by the curve's likelihood.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from netmetrics.llm import common as c
 from netmetrics.llm.sampling import bounded, held_out
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-WINDOW, STRIDE, LEVEL, ORDINARY_BYTES, TOXIC_BYTES = 32, 20, 6, 8192, 2048
+WINDOW, STRIDE, LEVEL, ORDINARY_BYTES = 32, 20, 6, 8192
+#: Bytes of weighted words in the first toxic dictionary that is tried; each further one has twice as many, the last all.
+FIRST_BYTES = 256
 #: The classifier is fitted on at most about so many labelled rows of each class.
 TRAIN_ROWS = 2500
-#: A word is typical of toxic text if so large a share of toxic rows has it, so many times the share of ordinary rows.
-TYPICAL_SHARE, TYPICAL_RATIO = 0.05, 20
 RESULT = "doc_id long, held_out boolean, score double, predicted int, saved_most double"
 
 
@@ -80,38 +81,57 @@ def _dictionary(samples: list[bytes], size: int, seed: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def weighted_words(texts: tuple[list[bytes], list[bytes]]) -> list[bytes]:
+    """Words that favour toxic rows, the weightiest first: rows that have it times its smoothed log-odds."""
+    seen = [Counter(), Counter()]
+    for y in (0, 1):
+        for t in texts[y]:
+            seen[y].update(set(t.split()))
+    odds = {w: np.log((k + 0.5) / (len(texts[1]) + 1)) - np.log((seen[0][w] + 0.5) / (len(texts[0]) + 1)) for w, k in seen[1].items()}
+    return sorted((w for w, x in odds.items() if x > 0), key=lambda w: (-seen[1][w] * odds[w], w))
+
+
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Weights and bias of the logistic curve, and the mean log-likelihood of y under it."""
+    if not len(x) or not 0 < y.mean() < 1:
+        return np.zeros(4), 0.0, 0.0
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    z = (x - mean) / scale
+    weight = np.where(y == 1, 1 / y.mean(), 1 / (1 - y.mean())) ** 0.5  # between balanced and as found
+    weight /= weight.mean()
+    w, b = np.zeros(4), 0.0
+    for _ in range(3000):
+        g = weight * (1 / (1 + np.exp(-(z @ w + b))) - y)
+        w -= 0.3 * (z.T @ g / len(y) + 1e-3 * w)
+        b -= 0.3 * g.mean()
+    return w / scale, float(b - (w / scale) @ mean), float(-np.logaddexp(0, np.where(y == 1, -1, 1) * (z @ w + b)).mean())
+
+
 def train(rows: list[tuple[str, int]], seed: int = 5) -> Model:
-    """rows: (text, 0 or 1). Two thirds make the dictionaries, one third the curve."""
+    """rows: (text, 0 or 1). Two thirds make the dictionaries, one third the curve and the choice of the dictionary."""
     order = np.random.default_rng(seed).permutation(len(rows))
     made, curve = (order[len(rows) // 3 :], order[: len(rows) // 3]) if len(rows) >= 30 else (order, order)
     texts: tuple[list, list] = ([], [])
     for t in sorted({(normal(rows[k][0]), int(rows[k][1])) for k in made}):
         texts[t[1]].append(t[0])
-    seen = [Counter(), Counter()]
-    for y in (0, 1):
-        for t in texts[y]:
-            seen[y].update(set(t.split()))
-    n0, n1 = max(1, len(texts[0])), max(1, len(texts[1]))
-    typical = {w for w, k in seen[1].items() if k >= max(2, TYPICAL_SHARE * n1) and k / n1 > TYPICAL_RATIO * (seen[0][w] + 0.5) / n0}
     ordinary = _dictionary([t[i : i + 200] for t in texts[0] for i in range(0, len(t), 200)], ORDINARY_BYTES, seed)
-    toxic = _dictionary([b" " + b" ".join(w for w in t.split() if w in typical) + b" " for t in texts[1]], TOXIC_BYTES, seed)
-    filler = bytes(np.random.default_rng(seed).integers(1, 32, len(toxic), dtype=np.uint8))
-    model = Model(ordinary + filler + b"\0" * 8, ordinary + toxic + b"\0" * 8, np.zeros(4), 0.0)
-    tool = Compressors(model)
-    x = np.array([describe(tool.saved(normal(rows[k][0]))) for k in curve])
+    words = weighted_words(texts)
+    ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64)
     y = np.array([int(rows[k][1]) for k in curve], float)
-    if len(x) and 0 < y.mean() < 1:
-        mean, scale = x.mean(0), x.std(0) + 1e-6
-        z = (x - mean) / scale
-        weight = np.where(y == 1, 1 / y.mean(), 1 / (1 - y.mean())) ** 0.5  # between balanced and as found
-        weight /= weight.mean()
-        w, b = np.zeros(4), 0.0
-        for _ in range(3000):
-            g = weight * (1 / (1 + np.exp(-(z @ w + b))) - y)
-            w -= 0.3 * (z.T @ g / len(y) + 1e-3 * w)
-            b -= 0.3 * g.mean()
-        model.weights, model.bias = w / scale, float(b - (w / scale) @ mean)
-    return model
+    best, most, size = None, -np.inf, FIRST_BYTES
+    while True:
+        n = min(len(words), max(1, int(np.searchsorted(ends, size, "right"))))
+        toxic = b" " + b" ".join(reversed(words[:n])) + b" "  # the weightiest nearest to the text
+        filler = bytes(np.random.default_rng(seed).integers(1, 32, len(toxic), dtype=np.uint8))
+        model = Model(ordinary + filler + b"\0" * 8, ordinary + toxic + b"\0" * 8, np.zeros(4), 0.0)
+        tool = Compressors(model)
+        x = np.array([describe(tool.saved(normal(rows[k][0]))) for k in curve])
+        model.weights, model.bias, likely = _curve(x, y)
+        if likely > most:
+            best, most = model, likely
+        if n == len(words):
+            return best
+        size *= 2
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, int]]:
@@ -127,7 +147,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts have one empty window. Without labels of both kinds every score is 0.5 less a margin: 0.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # two dictionaries of about 10 KB
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # two dictionaries: 8 KB and the toxic words of a bounded sample
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -324,3 +324,18 @@ def test_jaccard_repeated_id_with_other_text(spark):
     df = spark.createDataFrame([(5, x), (5, y), (7, x + " end"), (9, y + " end"), (11, "alone here")], "doc_id long, text string")
     got = {(r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()}
     assert got == {(5, 5), (7, 5), (9, 5), (11, 11)}
+
+
+def test_toxicity_of_a_long_tail():
+    rng = random.Random(2)
+    plain, bad = ([f"{kind}{k * 7919 % 1000003:06d}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(1, n)] for kind, n in (("s", 300), ("zq", 101)))
+    text = [[rng.choice(plain) for _ in range(rng.randint(20, 80))] for _ in range(4000)]
+    for w in bad:  # each in 3 % of the toxic rows of training and of test
+        for part in (range(0, 1000), range(1000, 2000)):
+            for d in rng.sample(part, 30):
+                text[d][rng.randrange(len(text[d]))] = w
+    rows = [(" ".join(t), int(d < 2000)) for d, t in enumerate(text)]
+    model = toxicity.train(rows[:1000] + rows[2000:3000])
+    tool = toxicity.Compressors(model)
+    found = lambda part: np.mean([toxicity.describe(tool.saved(toxicity.normal(t))) @ model.weights + model.bias > 0 for t, _ in part])
+    assert found(rows[1000:2000]) > 0.8 and found(rows[3000:]) < 0.1

@@ -96,7 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kpp_fit_fixed_set": lambda s, d: kp.fit(places(s, d), _three(s, d)).select("n_members", _r("fit")),
         "kpp_single_fits": lambda s, d: kp.single_fits(places(s, d)).select("id", _r("fit")),
         "kpp_best_single": lambda s, d: kp.single_fits(places(s, d)).select("id", _r("fit")).orderBy(F.desc("fit"), "id").limit(1),
-        "kpp_best_pair": lambda s, d: kp.pair_fits(peers(s, d)).select("a", "b", _r("fit")).orderBy(F.desc("fit"), "a", "b").limit(1),
+        "kpp_best_pair": lambda s, d: kp.best_pair(peers(s, d)).select("a", "b", _r("fit")),
         "kpp_swap_gains": lambda s, d: kp.swap_fits(places(s, d), _three(s, d)).select("u", "v", _r("fit")),
         "keyplayer_greedy": lambda s, d: kp.greedy(peers(s, d), 1).select("id", "name"),
         "keyplayer_stochastic": lambda s, d: kp.keyplayer(peers(s, d), 3, maxsec=10, roundsec=3, seed=1, workers=4),

@@ -14,6 +14,7 @@ from netmetrics.operators.betweenness import betweenness
 from netmetrics.operators.bridging import bridging
 from netmetrics.operators.local import constraint, ens, triangles
 from netmetrics.operators.paths import cohesion, shortest_paths
+from netmetrics.plans.queries import queries
 from netmetrics.sources.files import read_csv_graph
 
 SMALL = {
@@ -134,3 +135,26 @@ def test_random(spark, edges):
     want = [sum(whole - c(simple - {e}) for e in simple if v in e) / len(near[v]) if near[v] else 0 for v in range(1, 8)]
     assert column(bridging(g), "bridging") == pytest.approx(want, abs=1e-9)
     assert not any(math.isnan(x) for x in column(constraint(g), "constraint"))
+
+
+TWO_PARTS = {
+    "stars": [(1, k) for k in range(2, 6)] + [(6, k) for k in range(7, 11)],
+    "star_and_pairs": [(9, k) for k in range(1, 6)] + [(6, 7), (8, 10)],
+    "paths": [(1, 3), (3, 5), (2, 4), (4, 6), (6, 8), (7, 9)],
+}
+
+
+@pytest.mark.parametrize("name", TWO_PARTS)
+def test_best_pair_of_two_components(spark, tmp_path, name):
+    edges = TWO_PARTS[name]
+    rows = [(f"2024-01-01 00:{k:02d}:05", u) for k, e in enumerate(edges) for u in e]
+    spark.createDataFrame(rows, "ts string, user_id long").selectExpr("ts::timestamp AS ts", "user_id").write.parquet(f"{tmp_path}/events.parquet")
+    ids = sorted({u for e in edges for u in e})
+    _, d = distances(max(ids), edges)
+
+    def value(a, b):
+        return round(sum(1 / min(d[s][v] for s in (a, b) if v in d[s]) for v in ids if v not in (a, b) and (v in d[a] or v in d[b])) / len(ids), 6)
+
+    want = min((-value(a, b), a, b) for a, b in itertools.combinations(ids, 2))
+    got = queries()["kpp_best_pair"](spark, str(tmp_path)).collect()
+    assert [(r["a"], r["b"]) for r in got] == [want[1:]] and got[0]["fit"] == pytest.approx(-want[0])

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from netmetrics.graph import Graph
 from netmetrics.operators import keyplayer as kp
 from netmetrics.operators.betweenness import betweenness
-from netmetrics.operators.bridging import bridging
+from netmetrics.operators.bridging import bridging, edge_losses
 from netmetrics.operators.local import constraint, ens, triangles
 from netmetrics.operators.paths import cohesion, shortest_paths
 from netmetrics.plans.queries import queries
@@ -158,3 +158,15 @@ def test_best_pair_of_two_components(spark, tmp_path, name):
     want = min((-value(a, b), a, b) for a, b in itertools.combinations(ids, 2))
     got = queries()["kpp_best_pair"](spark, str(tmp_path)).collect()
     assert [(r["a"], r["b"]) for r in got] == [want[1:]] and got[0]["fit"] == pytest.approx(-want[0])
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+@pytest.mark.parametrize("copies", [51, 2])
+def test_losses_with_many_paths(spark, copies, limit):
+    # repeated edges 1-..-7 and 8-..-14, path counts of up to copies ** 12; then a bridge, a detour and two equal ways
+    ends = [(k, k + 1) for k in (*range(1, 7), *range(8, 14))]
+    for middle in ([(7, 8)], [(7, 8), (7, 15), (15, 16), (16, 8)], [(7, 15), (15, 8), (7, 16), (16, 8)]):
+        got = {(r["src"], r["dst"]): r["loss"] for r in edge_losses(graph(spark, 16, ends * copies + middle, False), limit).collect()}
+        total = lambda edges: sum(1 / x for s, own in distances(16, edges)[1].items() for v, x in own.items() if s < v)
+        want = {tuple(sorted(e)): total(ends + middle) - total(ends + [x for x in middle if x != e]) for e in middle}
+        assert got == pytest.approx(want)

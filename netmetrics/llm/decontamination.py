@@ -193,8 +193,11 @@ def scan_block(data: np.ndarray, off: np.ndarray, q: Queries) -> dict:
         while len(open_ := open_[n[open_] < left[open_]]):
             x, y = array.narrow(a[open_], z[open_], flat[(begins[text] + place + n)[open_]], n[open_], 1)
             more = x < y
-            open_ = open_[more]
-            a[open_], z[open_] = x[more], y[more]
+            open_, x, y = open_[more], x[more], y[more]
+            for from_, to in ((a[open_], x), (y, z[open_])):  # places that match no further
+                owner, at = spread(from_, to)
+                np.maximum.at(found["longest"], doc[word_of[array.sa[at]]], n[open_][owner])
+            a[open_], z[open_] = x, y
             n[open_] += 1
         owner, at = spread(a, z)
         p = word_of[array.sa[at]]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from netmetrics.llm import common as c
-from netmetrics.llm import decontamination, jaccard, langid, line_dedup, packing, quality, secrets, substring_dedup, tokens, toxicity
+from netmetrics.llm import decontamination, jaccard, langid, line_dedup, packing, quality, secrets, sql, substring_dedup, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,4 +62,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_decontamination": sql.decontamination(),
+        "op3_substring_dedup": sql.substring_dedup(),
+        "op4_line_dedup": sql.line_dedup(),
+        "op6_quality_rules": sql.quality(),
+        "op8_secret_scan": sql.secret_scan(),
+        "op10_jaccard_join": sql.jaccard_join(),
+    }

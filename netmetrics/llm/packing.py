@@ -1,11 +1,12 @@
 """Best-fit packing by linear grouping, planned on the histogram of lengths.
 
 The plan never sees documents: a corpus has at most ``capacity`` different lengths, so its histogram is bounded. Lengths
-above SMALL are cut into groups of equal cardinality and rounded up to the largest of their group; few-size configurations
-(multisets of rounded lengths that fill a sequence) are chosen one after another, each the fullest that the remaining
-counts allow and used as often as they allow; the group's actual lengths then replace the rounded ones, longest first, and
-what rounding and configurations left free takes the small pieces by best fit. The plan is a list of runs of equal
-sequences, and pieces find their place by their rank among the pieces of their length.
+above SMALL are cut into GROUPS groups of about equal cardinality and rounded up to the largest of their group, so there are
+few sizes. Configurations (multisets of sizes that fill a sequence) are chosen one after another, each the fullest that the
+remaining counts allow, and used as often as they allow. Actual lengths then replace the sizes, a group's longest first; the
+last place of a sequence, and what room rounding left beyond it, take the longest lengths that fit there, of whatever group.
+Small lengths fill what is left by best fit. The plan is a list of runs of equal sequences, and pieces find their place by
+their rank among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -16,16 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netmetrics.llm import common as c
 from netmetrics.llm.tokens import Pieces, Splitter, default_path
 
 CAPACITY, END = 2048, 0
-SMALL, GROUPS = 32, 2048
-#: Pieces are ranked within so many parts at most: the table of first ranks is PARTS x CAPACITY numbers.
-PARTS = 512
+#: Lengths up to SMALL are placed last; the longer ones are rounded within so many groups.
+SMALL, GROUPS = 64, 64
+#: A configuration whose sizes leave no more than this part of a sequence is full enough: actual lengths fill it up. Plans
+#: are made with each, and that of fewest sequences is used.
+SLACKS = (0, 1 / 64, 1 / 32, 1 / 16, 1 / 8, 3 / 16, 1 / 4, 3 / 8, 1 / 2)
 #: Distinct pre-tokens whose ids a task remembers.
 REMEMBERED = 400_000
 
@@ -89,117 +92,91 @@ class Runs:
         return [run for room in sorted(self.free) for run in self.free[room]]
 
 
-def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[int], int]]:
-    """(multiset of size numbers, how often): the fullest sequence that the remaining counts allow, again and again.
+def fullest(sizes: list[int], left: list[int], capacity: int, slack: int = 0) -> list[int]:
+    """The multiset of size numbers that fills a sequence best, no size more often than it is left.
 
-    sizes fall. The largest remaining size is always in, so every size comes to an end; the rest is a subset sum.
+    sizes fall. The largest size left is always in, so every size comes to an end; the rest is a subset sum over ever smaller
+    sizes, until no more than ``slack`` is free.
     """
-    left, out = list(counts), []
-    for big in range(len(sizes)):
-        while left[big]:
-            reach = np.full(capacity - sizes[big] + 1, -1, np.int64)  # the size that was added last to reach a sum
-            reach[0] = len(sizes)
-            room = capacity - sizes[big]
-            # sums reachable with bounded numbers of each size: a size of number k is added up to left[k] times
-            for k in range(big, len(sizes)):
-                n = left[k] - (k == big)
-                if n <= 0 or sizes[k] > room:
-                    continue
-                open_ = np.flatnonzero(reach >= 0)
-                for _ in range(min(n, room // sizes[k])):
-                    to = open_ + sizes[k]
-                    open_ = open_[to <= room]
-                    to = to[to <= room]
-                    new = reach[to] < 0
-                    open_, to = open_[new], to[new]
-                    if not len(to):
-                        break
-                    reach[to] = k
-                    open_ = to
-                if reach[room] >= 0:
-                    break
-            best = int(np.flatnonzero(reach >= 0)[-1])
-            members, s = [big], best
-            while s:
-                k = int(reach[s])
-                members.append(k)
-                s -= sizes[k]
-            need: dict[int, int] = {}
-            for k in members:
-                need[k] = need.get(k, 0) + 1
-            times = min(left[k] // m for k, m in need.items())
-            for k, m in need.items():
-                left[k] -= m * times
-            out.append((members, times))
-    return out
-
-
-def groups(counts: np.ndarray, small: int, n: int) -> list[list[tuple[int, int]]]:
-    """Lengths above ``small``, longest first, in n groups of equal cardinality: lists of (length, number)."""
+    big = next(k for k, n in enumerate(left) if n)
+    room = capacity - sizes[big]
+    reach = np.full(room + 1, -1, np.int64)  # the size that was added last to reach a sum
+    reach[0] = len(sizes)
+    for k in range(big, len(sizes)):  # a size is added up to left[k] times
+        n = left[k] - (k == big)
+        if n <= 0 or sizes[k] > room:
+            continue
+        open_ = np.flatnonzero(reach >= 0)
+        for _ in range(min(n, room // sizes[k])):
+            to = open_ + sizes[k]
+            to = to[to <= room]
+            to = to[reach[to] < 0]
+            if not len(to):
+                break
+            reach[to] = k
+            open_ = to
+        if (reach[max(0, room - slack) :] >= 0).any():
+            break
+    members, s = [big], int(np.flatnonzero(reach >= 0)[-1])
+    while s:
+        members.append(int(reach[s]))
+        s -= sizes[members[-1]]
+    return sorted(members)
+
+
+def groups(counts: np.ndarray, small: int, n: int) -> list[list[int]]:
+    """Lengths above ``small``, longest first, in at most n groups of about equal cardinality; a length is in one group."""
     lengths = [int(x) for x in np.flatnonzero(counts)[::-1] if x > small]
-    total = int(sum(counts[x] for x in lengths))
-    size, out, room = max(1, -(-total // n)), [], 0
+    left, out, room = int(sum(counts[x] for x in lengths)), [], 0
     for x in lengths:
-        k = int(counts[x])
-        while k:
-            if not room:
-                out.append([])
-                room = size
-            take = min(k, room)
-            out[-1].append((x, take))
-            k, room = k - take, room - take
+        if room <= 0 and len(out) < n:
+            out.append([])
+            room = -(-left // (n - len(out) + 1))
+        out[-1].append(x)
+        room -= int(counts[x])
+        left -= int(counts[x])
     return out
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY, small: int = SMALL, n_groups: int = GROUPS) -> list[tuple[list[tuple[int, int]], int]]:
     """Runs (slots, count) for a histogram (counts[length]): count sequences, each with the slots (length, first rank)."""
-    rank = np.zeros(capacity + 1, np.int64)
-    full = int(counts[capacity]) if len(counts) > capacity else 0
+    return min((_planned(counts, capacity, small, n_groups, int(x * capacity)) for x in SLACKS), key=lambda runs: sum(n for _, n in runs))
+
+
+def _planned(counts: np.ndarray, capacity: int, small: int, n_groups: int, slack: int) -> list[tuple[list[tuple[int, int]], int]]:
+    rank, left = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
+    left[: len(counts)] = counts
     runs = Runs(capacity)
-    runs.add(0, [(capacity, 0)], full)
-    counts = counts.copy()
-    counts[capacity] = 0
-    cut = groups(counts, small, n_groups)
-    # groups that round to the same length are one size
-    sizes: list[int] = []
-    members: list[list[tuple[int, int]]] = []
-    for g in cut:
-        if sizes and sizes[-1] == g[0][0]:
-            members[-1] += g
-        else:
-            sizes.append(g[0][0])
-            members.append(list(g))
-    queues = [list(reversed(g)) for g in members]
-
-    def take(k: int, most: int) -> tuple[int, int]:
-        """The longest length left in a group and how many of it there are."""
-        x, n = queues[k][-1]
-        return x, min(n, most)
-
-    for config, times in configurations(sizes, [sum(n for _, n in g) for g in members], capacity):
-        while times:
-            n = times  # as many sequences as every slot can fill with one length
-            need: dict[int, int] = {}
-            for k in config:
-                need[k] = need.get(k, 0) + 1
-            for k, m in need.items():
-                x, there = take(k, times * m)
-                if there >= m:
-                    n = min(n, there // m)
-            slots, room = [], capacity
-            if any(queues[k][-1][1] < m for k, m in need.items()):
-                n = 1
-            for k in config:
-                x, there = queues[k][-1]
-                slots.append((x, int(rank[x])))
-                rank[x] += n
-                room -= x
-                queues[k][-1] = (x, there - n)
-                if there == n:
-                    queues[k].pop()
-            runs.add(room, slots, n)
-            times -= n
-    _best_fit(runs, counts, rank, small)
+    runs.add(0, [(capacity, 0)], int(left[capacity]))
+    left[capacity] = 0
+    members = groups(left, small, n_groups)
+    sizes, of = [g[0] for g in members], {x: k for k, g in enumerate(members) for x in g}
+    there = [int(sum(left[x] for x in g)) for g in members]
+    config: list[int] = []
+    while any(there):
+        if not config or any(there[k] < config.count(k) for k in config):
+            config = fullest(sizes, there, capacity, slack)
+        use: dict[int, int] = {}  # the lengths of one sequence
+
+        def put(x: int) -> int:
+            use[x] = use.get(x, 0) + 1
+            return x
+
+        def fitting(lengths: np.ndarray | list[int]) -> int | None:
+            return next((int(x) for x in lengths if left[x] > use.get(int(x), 0)), None)
+
+        room = capacity
+        for k in config[:-1]:
+            room -= put(fitting(members[k]))
+        while room > small and (x := fitting(small + 1 + np.flatnonzero(left[small + 1 : room + 1])[::-1])) is not None:
+            room -= put(x)
+        n = min(int(left[x]) // m for x, m in use.items())
+        runs.add(room, [(x, int(rank[x]) + j * n) for x, m in use.items() for j in range(m)], n)
+        for x, m in use.items():
+            rank[x] += n * m
+            left[x] -= n * m
+            there[of[x]] -= n * m
+    _best_fit(runs, left, rank, small)
     return runs.all()
 
 
@@ -247,48 +224,45 @@ def _lookup(runs: list[tuple[list[tuple[int, int]], int]]) -> dict[int, tuple[np
 def pack_pieces(found: DataFrame, capacity: int = CAPACITY, small: int = SMALL, n_groups: int = GROUPS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) with sequence_id and offset. ``found`` must be a stored table.
 
-    Ranks: pieces are dealt into parts by a hash of doc_id and piece; counts of (part, length) give each part's first
-    rank of every length, and inside a part, which one task holds and streams, pieces are numbered as they come. No length is gathered anywhere.
+    Ranks: pieces are dealt into parts by a hash of doc_id and piece, so no length is gathered anywhere; they are numbered
+    within (part, length), and counts of (part, length) give the first rank of each. What goes to the driver is the
+    histogram, ``capacity`` rows at most, and what is sent to the tasks the plan, whose runs each use up a length or a size.
     """
     spark = found.sparkSession
-    parts = min(c.partitions(spark), PARTS)
-    dealt = found.withColumn("part", F.pmod(F.hash("doc_id", "piece"), F.lit(parts)))
-    table = np.zeros((parts, capacity + 1), np.int64)
-    for r in dealt.groupBy("part", "length").count().toLocalIterator():  # PARTS x capacity numbers at most
-        table[r[0], r[1]] = r[2]
-    lookup = _lookup(plan(table.sum(0), capacity, small, n_groups))
-    first = np.cumsum(table, 0) - table
-    shared = spark.sparkContext.broadcast((lookup, first))
+    dealt = found.withColumn("part", F.pmod(F.hash("doc_id", "piece"), F.lit(c.partitions(spark))))
+    counts = c.written(dealt.groupBy("part", "length").agg(F.count("*").alias("n")), c.shared_dir(spark), "counts")
+    histogram = np.zeros(capacity + 1, np.int64)
+    for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
+        histogram[r["length"]] = r["n"]
+    shared = spark.sparkContext.broadcast(_lookup(plan(histogram, capacity, small, n_groups)))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    first = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy("part", "length").orderBy("doc_id", "piece"))
+    ranked = dealt.withColumn("rank", inside).join(first, ["part", "length"]).withColumn("rank", F.col("first") + F.col("rank") - 1)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, first = shared.value
-        seen: dict[int, np.ndarray] = {}
+        lookup = shared.value
         for b in batches:
-            length, part = b.column("length").to_numpy(), b.column("part").to_numpy()
-            kind = part.astype(np.int64) * (capacity + 1) + length
-            order = np.argsort(kind, kind="stable")
+            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            values, begin, number = np.unique(kind[order], return_index=True, return_counts=True)
-            for v, at, n in zip(values.tolist(), begin, number, strict=True):
-                p, x = divmod(v, capacity + 1)
-                if p not in seen:
-                    seen[p] = first[p].copy()
-                ranks = seen[p][x] + np.arange(n)
-                seen[p][x] += n
+            order = np.argsort(length, kind="stable")
+            values, begin = np.unique(length[order], return_index=True)
+            for x, at in zip(values.tolist(), np.split(order, begin[1:]), strict=True):
                 firsts, base, off = lookup[x]
-                run = np.searchsorted(firsts, ranks, "right") - 1
-                sequence[order[at : at + n]] = base[run] + ranks - firsts[run]
-                offset[order[at : at + n]] = off[run]
+                run = np.searchsorted(firsts, rank[at], "right") - 1
+                sequence[at] = base[run] + rank[at] - firsts[run]
+                offset[at] = off[run]
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return dealt.repartition(parts, "part").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select(*names, "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of all documents and their places in sequences of at most ``capacity`` tokens.
 
-    Null and empty texts are a piece of the end id alone. Repeated rows are packed as often as they occur.
+    Null and empty texts are a piece of the end id alone; very long texts are cut whole. Repeated rows, and rows of one or no
+    doc_id, are packed as often as they occur.
     """
     found = c.written(pieces(documents, path, capacity), c.shared_dir(documents.sparkSession), "pieces")
     return pack_pieces(found, capacity)

@@ -31,6 +31,8 @@ EXTRA = (
 )
 RULES = BASE + EXTRA
 SPANS = "array<struct<start:int,kind:int,end:int>>"
+#: Matches whose places are summed up in one go; appending costs the square of it, whatever the text's length.
+STEP = 64
 #: Copies of a blob are spread over so many keys when findings are joined back to their paths.
 SALTS = 16
 
@@ -40,7 +42,7 @@ def rule_version(rules=RULES) -> str:
 
 
 def kind_spans(text: Column, number: int, rule: tuple) -> Column:
-    """The spans of one rule: the pieces between matches and the matches, their lengths summed up."""
+    """The spans of one rule: the pieces between matches and the matches, their lengths summed up, STEP matches at a time."""
     _, pattern, group, least = rule
     found = F.regexp_extract_all(text, F.lit(f"({pattern})" if group else pattern), F.lit(1 if group else 0))
     pairs = F.zip_with(found, F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
@@ -53,8 +55,18 @@ def kind_spans(text: Column, number: int, rule: tuple) -> Column:
         own = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(long_enough, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
 
+    def follow(acc: Column, part: Column) -> Column:
+        own = F.array(F.struct(acc["at"].alias("at"), part["out"].alias("out")))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], own).alias("out"))
+
+    def moved(part: Column) -> Column:
+        return F.transform(part["out"], lambda s: F.struct((s["start"] + part["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + part["at"]).alias("end")))
+
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPANS))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<at:int,out:{SPANS}>>").alias("out"))
+    parts = F.transform(F.sequence(F.lit(1), F.size(pairs), F.lit(STEP)), lambda i: F.aggregate(F.slice(pairs, i, STEP), zero, step))
+    whole = F.aggregate(parts, first, follow, lambda acc: F.flatten(F.transform(acc["out"], moved)))
+    return F.when(text.rlike(pattern), whole).otherwise(F.array().cast(SPANS))
 
 
 def spans(text: Column, rules=RULES) -> Column:
@@ -70,20 +82,22 @@ def blob(text: Column) -> Column:
 def scan_new(versions: DataFrame, path: str, text: str, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
     """Ledger entries (blob, rule_version, spans) for the blobs of versions that the ledger lacks under these rules.
 
-    path is a number; a path may have many versions. One text of each unseen blob is scanned.
+    path is a number; a path may have many versions. One text of each unseen blob is scanned: that of its least path, met
+    by path and blob together, so versions of a path meet each their own blob only.
     """
-    own = versions.select(c.key(path).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    first = own.groupBy(blob(F.col("t")).alias("blob")).agg(F.min("k").alias("k"))
+    own = versions.select(c.key(path).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("blob", blob(F.col("t")))
+    first = own.groupBy("blob").agg(F.min("k").alias("k"))
     if ledger is not None:
         first = first.join(ledger.where(F.col("rule_version") == rule_version(rules)).select("blob"), "blob", "left_anti")
-    one = own.join(first.hint("shuffle_hash"), "k").where(blob(F.col("t")) == F.col("blob"))
-    return one.select("blob", F.lit(rule_version(rules)).alias("rule_version"), spans(F.col("t"), rules).alias("spans")).dropDuplicates(["blob"])
+    one = own.join(first.hint("shuffle_hash"), ["k", "blob"], "left_semi").dropDuplicates(["k", "blob"])
+    return one.select("blob", F.lit(rule_version(rules)).alias("rule_version"), spans(F.col("t"), rules).alias("spans"))
 
 
 def secrets(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rules=RULES) -> tuple[DataFrame, DataFrame]:
     """(findings, ledger): a row (path, blob, spans) for each row of versions, and the ledger with the new entries.
 
-    Nulls and empty texts are the empty blob, without findings. The new entries are a table in the shared folder.
+    Nulls and empty texts are the empty blob, without findings; very long texts are scanned whole. A null path is a path of
+    its own, and rows that repeat a path are its versions. The new entries are a table in the shared folder.
     """
     new = c.written(scan_new(versions, path, text, ledger, rules), c.shared_dir(versions.sparkSession), "ledger")
     whole = new if ledger is None else ledger.unionByName(new)

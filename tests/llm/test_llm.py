@@ -207,6 +207,20 @@ def test_plan(lengths):
     assert (used == h).all() and sum(n for _, n in runs) <= 1.25 * sum(lengths) / 2048 + sum(x > 1024 for x in lengths) + 1 + len(lengths) // 2
 
 
+def test_plan_rounds_within_groups():
+    rng = np.random.default_rng(1)
+    lengths = np.minimum(2048, np.exp(rng.normal(6.3, 0.9, 20000)).astype(int) + 1)
+    h = np.bincount(lengths, minlength=2049)
+    large = np.where(np.arange(2049) < 2048, h, 0)
+    cut = packing.groups(large, packing.SMALL, packing.GROUPS)
+    assert len(cut) == packing.GROUPS and sum(len(g) > 1 for g in cut) > 60  # several lengths count as the largest of them
+    each = [sum(h[x] for x in g) for g in cut]
+    assert max(each) < 2 * sum(each) / len(each) and sorted(x for g in cut for x in g) == [x for x in range(65, 2048) if h[x]]
+    runs = packing.plan(h)
+    assert len(runs) < 3 * 2048 and sum(n for _, n in runs) <= 1.01 * lengths.sum() / 2048
+    assert packing.fullest([900, 500, 300], [1, 1, 9], 2048) == [0, 1, 2, 2] and packing.fullest([900, 500, 300], [0, 3, 1], 2048, 600) == [1, 1, 1]
+
+
 def test_secrets(spark, rows, docs):
     assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     want = {}
@@ -339,3 +353,22 @@ def test_toxicity_of_a_long_tail():
     tool = toxicity.Compressors(model)
     found = lambda part: np.mean([toxicity.describe(tool.saved(toxicity.normal(t))) @ model.weights + model.bias > 0 for t, _ in part])
     assert found(rows[1000:2000]) > 0.8 and found(rows[3000:]) < 0.1
+
+
+def test_versions_of_one_path(spark):
+    rows = [(7, f"version {k} token = {'z' * (6 + k)}") for k in range(2000)] + [(None, "token = abcdefgh")] * 2 + [(8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    new = secrets.scan_new(df, "doc_id", "text")
+    assert new.count() == 2002
+    joined = [x for x in new._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join LeftSemi" in x]
+    assert len(joined) == 1 and re.search(r"\(\(k#.* AND \(blob#", joined[0])
+    found, ledger = secrets.secrets(df)
+    assert found.count() == len(rows) and ledger.count() == 2002
+    assert {len(r["spans"]) for r in found.where("doc_id = 7").collect()} == {1}
+
+
+def test_many_secrets_in_a_text(spark):
+    text = "x ".join(f"token = abc{k:05d} " for k in range(700))
+    got = secrets.secret_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = [(m.start(), m.end()) for m in re.finditer(r"token = abc\d{5}", text)]
+    assert got["n_assign"] == 700 and got["spans"].split(",") == [f"assign:{a}:{z}" for a, z in want]

@@ -11,6 +11,7 @@ Rules that hold for all operators here:
 from __future__ import annotations
 
 import gc
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,6 +36,14 @@ def key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_KEY))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,14 +53,18 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """A new folder below the cluster's shared checkpoint folder; a temporary one only in local mode where none is set."""
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = got.get() if got.isDefined() else f"file://{tempfile.gettempdir()}/netmetrics"
+        base = got.get() if got.isDefined() else None
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/netmetrics"
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netmetrics.llm import common as c
 
+#: Rounds grow with the logarithm of a component's diameter; more than this many are an error, not a result.
 MOST_ROUNDS = 60
 
 
@@ -38,6 +39,8 @@ def components(edges: DataFrame, folder: str, name: str, known: DataFrame | None
         last, mark, own = mark, _print(new), new
         if mark == last:
             break
+    else:
+        raise RuntimeError(f"components have not settled in {MOST_ROUNDS} rounds")
     nodes = own.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(own.select(F.col("v"), F.col("v")).distinct())
 

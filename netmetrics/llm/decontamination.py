@@ -8,6 +8,7 @@ Documents never meet in a shuffle; the benchmark goes to the tasks in blocks of
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -249,7 +250,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     """One row per row of documents: words, words inside benchmark windows, items met, and the longest verbatim match.
 
     Null or empty texts have no words; an empty benchmark hits nothing; items without words never hit; benchmark rows
-    with a null item_id are no items; the text of an item that occurs in several rows counts once for each text.
+    with a null item_id are no items; the text of an item that occurs in several rows counts once for each text. Rows that
+    repeat a doc_id, or have none, are each judged by their own text; very long texts are a shard of their own.
     """
     lists = list(query_blocks(benchmark, block))
     df = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
@@ -259,24 +261,32 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     return df
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
     """The longest verbatim match of every benchmark suffix of at least ``window`` words in each shard, with all its places."""
-    rows = [r for part in query_blocks(benchmark) for r in part]
-    names = [str(n) for n, t in rows if n is not None and WORD.search((t or "").encode().lower())]
-    q = prepare(rows, window)
+    df = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in c.blocks(batches):
-            ids = b.column("doc_id").to_pylist()
-            if len(f := scan_block(*c.utf8(b.column("text")), q)["places"]):
-                text, at, n, docs, places = f
-                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in text]), pa.array(at), pa.array(n), pa.array([ids[d] for d in docs], pa.int64()), pa.array(places)], ["item_id", "item_word", "n_words", "doc_id", "doc_word"])
+    def found(rows: list[tuple]) -> DataFrame:
+        names = [str(n) for n, t in rows if n is not None and WORD.search((t or "").encode("utf-8", "replace").lower())]
+        q = prepare(rows, window)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in c.blocks(batches):
+                ids = b.column("doc_id").to_pylist()
+                if len(f := scan_block(*c.utf8(b.column("text")), q)["places"]):
+                    text, at, n, docs, places = f
+                    yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in text]), pa.array(at), pa.array(n), pa.array([ids[d] for d in docs], pa.int64()), pa.array(places)], ["item_id", "item_word", "n_words", "doc_id", "doc_word"])
 
-    return documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text")).mapInArrow(scan, "item_id string, item_word long, n_words long, doc_id long, doc_word long")
+        return df.mapInArrow(scan, "item_id string, item_word long, n_words long, doc_id long, doc_word long")
+
+    return functools.reduce(DataFrame.unionByName, map(found, query_blocks(benchmark, block)))
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
-    """The documents, all columns, without those that share a window with the benchmark; judged where they are read."""
+    """The documents, all columns, without those that share a window with the benchmark; judged where they are read.
+
+    Null, empty and very long texts, repeated rows and null ids as in contamination(): each row by its own text.
+    """
+
     def clean(q: Queries):
         @F.pandas_udf("boolean")
         def judged(text: pd.Series) -> pd.Series:

@@ -1,11 +1,11 @@
 """N-gram Jaccard join by vertical partitioning.
 
-All shingles of the corpus are put in one global order, rare ones first, and the order is cut into fragments by hash. Each
-document sends the shingles of its prefix (those of which two similar documents must share one) to their fragments; a
+All shingles of the corpus are put in one global order, rare ones first, and the order is cut into fragments: ranges of it.
+Each document sends the shingles of its prefix (those of which two similar documents must share one) to their fragments; a
 fragment counts partial overlaps of the pairs it sees, and sums over the fragments decide which pairs can reach the
 threshold. Those are verified on their words. Equal sets are one class from the start. Where many classes meet in a shingle
-only links to the least class are counted at first; classes that these links leave apart are then paired across
-components, so no group costs all its pairs and no link is lost.
+only links to the least class, and to neighbours of like size, are counted; classes that these links leave apart are then
+paired across components, in blocks of a list, so no group costs all its pairs, none is one task, and no link is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +33,10 @@ SMALL_LIST = 12
 FEW = 48
 #: At most so many turns of that.
 TURNS = 2
+#: Entries of a long list that meet as many others in one task; a longer one is dealt out in blocks.
+SPLIT = 1024
+#: Prefix shingles of a fragment, about; most of them lie in the first HEAD of the order, by mass.
+ENTRIES, HEAD = 500_000, 0.35
 #: Bits of a class's parity bitmap, which bounds overlaps from above; larger sets are pruned less, never wrongly.
 BITS = 2048
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -108,6 +112,21 @@ def order_levels(sets: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def order_key(g: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The place of a shingle in the global order, as a number: how common it is, then its hash."""
+    return (level.astype(c.U64) << c.U64(56)) | (g >> c.U64(8))
+
+
+def order_cuts(level: np.ndarray, fragments: int) -> np.ndarray:
+    """Keys at which the order is cut: ranges of even mass, four fifths of them in the order's first HEAD, where prefixes are."""
+    at = np.argsort(level, kind="stable")
+    mass = np.cumsum(np.exp2(level[at] / 8.0) - 1 + 1e-9)
+    x = np.arange(1, fragments) / fragments
+    share = np.where(x <= 0.8, x / 0.8 * HEAD, HEAD + (x - 0.8) / 0.2 * (1 - HEAD))
+    cut = at[np.minimum(np.searchsorted(mass, share * mass[-1]), len(at) - 1)]
+    return np.sort(order_key(cut.astype(c.U64) << c.U64(64 - SKETCH), level[cut]))
+
+
 def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - -(-PERCENT * n // 100) + 1
 
@@ -121,15 +140,16 @@ def _prefixes(shared, fragments: int):
     """A row for each fragment and block: its shingles, with class, size and place in the document's order."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, pack = shared.value, zstandard.ZstdCompressor(level=1).compress
+        (level, cuts), pack = shared.value, zstandard.ZstdCompressor(level=1).compress
         told: set[tuple[int, int]] = set()
         for b in c.blocks(batches, limit=2 * c.BLOCK):
             g, begin = shingles(*c.utf8(b.column("text")))
             s1, s2 = set_hashes(g, begin)
             n = np.diff(begin)
             doc = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((g, level[(g >> c.U64(64 - SKETCH)).astype(np.int64)], doc))
-            g = g[order]
+            key = order_key(g, level[(g >> c.U64(64 - SKETCH)).astype(np.int64)])
+            order = np.lexsort((g, key, doc))
+            g, key = g[order], key[order]
             place = np.arange(len(g)) - begin[doc]
             new = np.zeros(len(n), bool)
             for d, pair in enumerate(zip(s1.tolist(), s2.tolist(), strict=True)):
@@ -140,7 +160,7 @@ def _prefixes(shared, fragments: int):
                 told.clear()
             use = (place < prefix_size(n)[doc]) & new[doc]
             g, doc, place = g[use], doc[use], place[use]
-            to = (c.mixed(g) % c.U64(fragments)).astype(np.int64)
+            to = np.searchsorted(cuts, key[use], "right")
             order = np.lexsort((g, to))
             ends = np.searchsorted(to[order], np.arange(fragments + 1))
             rows = []
@@ -177,13 +197,13 @@ def _found(kind: int, a, b=None, na=None, nb=None, x=None, key=None) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), *(pa.nulls(m, pa.int64()) if v is None else pa.array(np.asarray(v).astype(np.int64)) for v in (a, b, na, nb, x, key))], _FOUND)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], short: int) -> Iterator[pa.RecordBatch]:
     """One fragment at a time (rows come sorted): partial overlaps (0), entries of long lists (1), how many a class has (2)."""
     at, parts = None, []
     for b in batches:
         for r in b.to_pylist():
             if r["fragment"] != at and parts:
-                yield from _fragment(parts)
+                yield from _fragment(parts, short)
                 parts = []
             at = r["fragment"]
             raw = zstandard.ZstdDecompressor().decompress(r["packed"])
@@ -193,10 +213,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cid, n = np.frombuffer(raw, np.int64, d, 16 * m), np.frombuffer(raw, np.uint32, d, 16 * m + 8 * d)
             parts.append((g, cid[ref], n[ref].astype(np.int64), place.astype(np.int64)))
     if parts:
-        yield from _fragment(parts)
+        yield from _fragment(parts, short)
 
 
-def _fragment(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+def _fragment(parts: list[tuple], short: int) -> Iterator[pa.RecordBatch]:
     g, cid, n, place = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((cid, g))
     g, cid, n, place = g[order], cid[order], n[order], place[order]
@@ -205,13 +225,13 @@ def _fragment(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     g, cid, n, place = g[keep], cid[keep], n[keep], place[keep]
     start, size = _lists(g)
     left, right, ok = [], [], []
-    for m in range(2, SMALL_LIST + 1):
+    for m in range(2, short + 1):
         s = start[size == m]
         for i in range(m):
             for j in range(i + 1, m):
                 left.append(s + i)
                 right.append(s + j)
-    long_ = size > SMALL_LIST
+    long_ = size > short
     entry = np.repeat(long_, size)
     if entry.any():
         center = np.repeat(start, size)
@@ -254,26 +274,23 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch], most: int = 0, turn: int = 0) -> Iterator[pa.RecordBatch]:
-    """Long lists again, by component: pairs of classes that no link has joined yet and that can still be similar.
+    """Blocks of long lists: pairs of a class outside the list's largest component (side 0) and another (side 1) that no link
+    has joined yet and that can still be similar.
 
     Bits in which two bitmaps differ are shingles that only one set has: pairs with too many of them are none.
 
-    With ``most``, at most so many for each class outside its list's largest component, drawn by hash anew each turn.
+    With ``most``, at most so many for each class of side 0 in a block, drawn by hash anew each turn.
     """
     held: list[tuple] = []
     at = None
 
     def pairs() -> Iterator[pa.RecordBatch]:
-        cid, comp, n, place, bits = (np.concatenate(x) for x in zip(*held, strict=True))
-        names, size = np.unique(comp, return_counts=True)
-        if len(names) < 2:
-            return
-        order = np.argsort(n, kind="stable")
-        cid, comp, n, place, bits = cid[order], comp[order], n[order], place[order], bits[order]
-        begins = np.searchsorted(n, -(-PERCENT * n // 100), "left")
-        ends = np.searchsorted(n, 100 * n // PERCENT, "right")
-        for i in np.flatnonzero(comp != names[size.argmax()]):  # of two components one at least is not the largest
-            j = np.arange(begins[i], ends[i])
+        side, cid, comp, n, place, bits = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.flatnonzero(side == 1)
+        order = order[np.argsort(n[order], kind="stable")]
+        sizes = n[order]
+        for i in np.flatnonzero(side == 0):
+            j = order[np.searchsorted(sizes, -(-PERCENT * n[i] // 100), "left") : np.searchsorted(sizes, 100 * n[i] // PERCENT, "right")]
             j = j[(comp[j] != comp[i]) & can_link(n[i], place[i], n[j], place[j])]
             differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
             j = j[n[i] + n[j] - differ >= 2 * needed(n[i], n[j])]
@@ -283,20 +300,36 @@ def _across(batches: Iterator[pa.RecordBatch], most: int = 0, turn: int = 0) ->
                 yield _found(0, np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j]))
 
     for b in batches:
-        key = b.column("key").to_numpy()
-        columns = [b.column(x).to_numpy() for x in ("a", "component", "na", "x")]
+        block = np.stack([b.column(x).to_numpy().astype(np.int64) for x in ("key", "row", "col")], 1)
+        columns = [b.column(x).to_numpy() for x in ("side", "a", "component", "na", "x")]
         columns.append(np.frombuffer(b"".join(b.column("bits").to_pylist()), c.U64).reshape(-1, BITS // 64))
-        start, size = _lists(key)
-        for s, m in zip(start, size, strict=True):
-            if key[s] != at and held:
+        start = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(1)])) if len(block) else []
+        for s, z in zip(start, [*start[1:], len(block)], strict=True):
+            if held and tuple(block[s]) != at:
                 yield from pairs()
                 held = []
-            at = key[s]
-            held.append(tuple(x[s : s + m] for x in columns))
+            at = tuple(block[s])
+            held.append(tuple(x[s:z] for x in columns))
     if held:
         yield from pairs()
 
 
+def in_blocks(entries: DataFrame, split: int) -> DataFrame:
+    """Entries (key, a, component, …) of lists with several components, dealt to blocks (key, row, col).
+
+    Side 0 are the classes outside their list's largest component, in rows of blocks, each sent to every column; side 1 are
+    all classes, in columns, each sent to every row. A block has about ``split`` of either, so a list costs its pairs with
+    classes outside its largest component and no more; lists of one component cost nothing.
+    """
+    lists = entries.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+    lists = lists.agg(F.sum("n").alias("m"), F.max(F.struct("n", "component")).alias("top")).where("m > top.n")
+    lists = lists.select("key", F.col("top.component").alias("main"), F.ceil((F.col("m") - F.col("top.n")) / split).cast("int").alias("rows"), F.ceil(F.col("m") / split).cast("int").alias("cols"))
+    own, hashed = entries.join(lists, "key"), F.xxhash64("a", "key")
+    left = own.where("component != main").withColumn("side", F.lit(0)).withColumn("row", F.pmod(hashed, "rows").cast("int")).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
+    right = own.withColumn("side", F.lit(1)).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("col", F.pmod(hashed, "cols").cast("int"))
+    return left.unionByName(right).drop("main", "rows", "cols")
+
+
 def word_set(text: str, n: int = N) -> set[tuple[str, ...]]:
     w = WORD.findall(text.translate(AZ))
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
@@ -334,12 +367,14 @@ def similar_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     folder, parts = c.shared_dir(spark), c.partitions(spark)
     texts = documents.select(c.key().alias("k"), F.coalesce(documents["text"].cast("string"), F.lit("")).alias("text"))
     made = c.written(texts.mapInArrow(_sets, "k long, s1 long, s2 long, n long, block int, counts binary"), folder, "sets")
-    level = spark.sparkContext.broadcast(order_levels(made))  # 2**SKETCH bytes
+    level = order_levels(made)
     sets = made.where("block is null").select("k", "s1", "s2", "n")
     classes = c.written(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("k").alias("rep")), folder, "classes")
-    fragments = max(4, parts // 2)
-    sent = texts.mapInArrow(_prefixes(level, fragments), "fragment long, entries long, docs long, packed binary")
-    found = c.written(sent.repartition(parts, "fragment").sortWithinPartitions("fragment").mapInArrow(_count, FOUND), folder, "found")
+    entries = classes.agg(F.sum(F.expr(f"n - ceil({PERCENT} * n / 100.0D) + 1"))).first()[0] or 0
+    fragments = max(4, parts // 2, int(entries) // ENTRIES)
+    shared = spark.sparkContext.broadcast((level, order_cuts(level, fragments)))  # 2**SKETCH bytes, and a number for each fragment
+    sent = texts.mapInArrow(_prefixes(shared, fragments), "fragment long, entries long, docs long, packed binary")
+    found = c.written(sent.repartition(max(parts, fragments), "fragment").sortWithinPartitions("fragment").mapInArrow(functools.partial(_count, short=SMALL_LIST), FOUND), folder, "found")
     partial = found.where("kind = 0").groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("x").alias("both"), F.max("key").alias("hope")).where("hope > 0")
     # a shingle of a long list may be common to a pair and not be counted: no pair has more of them than its poorer class
     more = found.where("kind = 2").groupBy("a").agg(F.sum("x").alias("more"))
@@ -366,7 +401,8 @@ def similar_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
         while turns:
             most, turn = turns.pop(0)
             name = f"turn-{turn}"
-            again = entries.join(near.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a")).repartition(parts, "key").sortWithinPartitions("key")
+            again = c.written(entries.join(near.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a")), folder, f"{name}-at")
+            again = in_blocks(again, SPLIT).repartition(parts, "key", "row", "col").sortWithinPartitions("key", "row", "col")
             pairs = again.mapInArrow(functools.partial(_across, most=most, turn=turn), FOUND).select("a", "b").distinct()
             pairs = c.written(pairs, folder, name)
             if pairs.isEmpty():
@@ -398,8 +434,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
-    """The documents, all columns, without those that link, directly or not, to a document of smaller doc_id."""
-    folder = c.shared_dir(documents.sparkSession)
+    """The documents, all columns, without those that link, directly or not, to a document of smaller doc_id.
+
+    Documents without words stay; rows that repeat a doc_id stay or go together; a null doc_id is the smallest and stays.
+    """
+    folder, name = c.shared_dir(documents.sparkSession), c.fresh(documents, "gone")
     found = c.written(near_duplicates(documents), folder, "components")
-    gone = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(gone, F.col("doc_id") == F.col(name), "left_anti")

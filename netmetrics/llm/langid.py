@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netmetrics.llm import common as c
-from netmetrics.llm.sampling import bounded, held_out
+from netmetrics.llm.sampling import bounded, held_out, piece
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
-#: The classifier is fitted on at most about so many labelled rows, of at most so many distinct languages' worth of text.
-TRAIN_ROWS = 4000
+#: The classifier is fitted on at most about so many labelled rows of each language, and so many characters of each.
+TRAIN_ROWS, TRAIN_CHARS = 1000, 20_000
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
 
@@ -130,16 +130,18 @@ def has_letter(text: str | None) -> bool:
 
 
 def training_rows(documents: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """The bounded sample: rows with a language that are not held out and have a letter."""
+    """The bounded sample: rows with a language that are not held out and have a letter; of long texts a piece."""
     use = documents.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return [(t, lang) for _, t, lang in sorted(map(tuple, bounded(use, rows).collect())) if has_letter(t)]
+    use = bounded(use, rows, "lang").withColumn("text", piece("text", TRAIN_CHARS))
+    return [(t, lang) for _, t, lang in sorted(map(tuple, use.collect())) if has_letter(t)]
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for each row of documents; only the text is looked at.
 
     A null text, one without a letter, or a model without languages: lang_pred und, score 0. rejected: the score is under
-    the calibrated threshold, or the text has no letter.
+    the calibrated threshold, or the text has no letter. Very long texts are looked at whole. Rows that repeat a doc_id are
+    each predicted; a null doc_id is held out; an empty table gives no rows.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)  # BUCKETS x languages floats

@@ -71,20 +71,23 @@ class LineRuns:
     """The store: ``levels[n]`` are the names of the runs of level n."""
 
     def __init__(self, spark, fan_in: int = 3) -> None:
-        self.spark, self.fan_in, self.levels = spark, fan_in, [[]]
+        self.spark, self.fan_in, self.levels, self.folder = spark, fan_in, [[]], c.shared_dir(spark)
         self.name, self.made, self.buckets = f"line_runs_{uuid.uuid4().hex}", 0, c.partitions(spark)
 
     def _write(self, run: DataFrame) -> str:
         self.made += 1
         name = f"{self.name}_{self.made}"
-        run.repartition(self.buckets, "h1", "h2").write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        run.repartition(self.buckets, "h1", "h2").write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(x) for level in self.levels for x in level]
 
     def ingest(self, lines: DataFrame) -> DataFrame:
-        """Adds a batch of (k, h1, h2); returns its (k, h1, h2) that an earlier batch or a smaller k of this one holds."""
+        """Adds a batch of (k, h1, h2); returns its (k, h1, h2) that an earlier batch or a smaller k of this one holds.
+
+        The result reads the store's runs: it must be written before the store is closed.
+        """
         new = lines.groupBy("h1", "h2").agg(F.min("k").alias("first"))
         for run in self.runs():
             new = new.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
@@ -92,7 +95,7 @@ class LineRuns:
         own = self.spark.table(name).hint("merge")
         self.levels[0].append(name)
         self._compact()
-        return lines.join(own, ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("first") != F.col("k"))).select("k", "h1", "h2"), name
+        return lines.join(own, ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("first") != F.col("k"))).select("k", "h1", "h2")
 
     def _compact(self) -> None:
         for n, level in enumerate(self.levels):
@@ -108,6 +111,7 @@ class LineRuns:
     def close(self) -> None:
         for k in range(1, self.made + 1):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{k}")
+        c.drop_folder(self.spark, self.folder)
 
 
 def dropped_lines(documents: DataFrame, batches: int = 4) -> DataFrame:
@@ -119,10 +123,12 @@ def dropped_lines(documents: DataFrame, batches: int = 4) -> DataFrame:
     line_hashes(documents).withColumn("batch", batch).write.partitionBy("batch", "lost").parquet(f"{folder}/lines")
     lines = spark.read.schema("k long, h1 long, h2 long, batch int, lost boolean").parquet(f"{folder}/lines")
     store = LineRuns(spark)
-    for b in range(len(set(cuts)) + 1):
-        found, _ = store.ingest(lines.where((F.col("batch") == b) & ~F.col("lost")).select("k", "h1", "h2"))
-        found.write.parquet(f"{folder}/drop/{b}")
-    store.close()
+    try:
+        for b in range(len(set(cuts)) + 1):
+            found = store.ingest(lines.where((F.col("batch") == b) & ~F.col("lost")).select("k", "h1", "h2"))
+            found.write.parquet(f"{folder}/drop/{b}")
+    finally:
+        store.close()
     out = lines.where("lost").select("k", "h1", "h2").unionByName(spark.read.schema("k long, h1 long, h2 long").parquet(f"{folder}/drop/*"))
     return out.groupBy("k").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
 
@@ -135,9 +141,11 @@ def _kept(text: str | None, drop) -> tuple[list[bytes], int]:
     return [x for x in lines if line_key(x) not in gone], len(lines)
 
 
-def _marked(documents: DataFrame, batches: int) -> DataFrame:
-    drops = dropped_lines(documents, batches)
-    return documents.withColumn("_k", c.key()).join(drops.withColumnsRenamed({"k": "_k", "drop": "_drop"}), "_k", "left")
+def _marked(documents: DataFrame, batches: int) -> tuple[DataFrame, str]:
+    """The documents with a column of the digests that go, and that column's name, which no column of theirs has."""
+    k, drop = c.fresh(documents, "k"), c.fresh(documents, "drop")
+    drops = dropped_lines(documents, batches).withColumnsRenamed({"k": k, "drop": drop})
+    return documents.withColumn(k, c.key()).join(drops, k, "left"), drop
 
 
 def line_dedup_report(documents: DataFrame, batches: int = 4) -> DataFrame:
@@ -152,18 +160,22 @@ def line_dedup_report(documents: DataFrame, batches: int = 4) -> DataFrame:
         rows = [(n, n - len(kept), c.hex_sha256(b"\n".join(kept))) for kept, n in map(_kept, text, drop)]
         return pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept_sha256"])
 
-    df = _marked(documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text")), batches)
-    return df.select("doc_id", report("text", "_drop").alias("r")).select("doc_id", "r.*")
+    df, drop = _marked(documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text")), batches)
+    return df.select("doc_id", report("text", drop).alias("r")).select("doc_id", "r.*")
 
 
 def line_dedup(documents: DataFrame, batches: int = 4) -> DataFrame:
-    """The documents, all columns, with repeated lines gone from text (and n_chars, if there, counted anew)."""
+    """The documents, all columns, with repeated lines gone from text (and n_chars, if there, counted anew).
+
+    All else as in line_dedup_report; no column of theirs is changed or lost, whatever its name. A null text stays null.
+    """
 
     @F.pandas_udf("string")
     def rest(text: pd.Series, drop: pd.Series) -> pd.Series:
         return pd.Series([t if d is None or not len(d) else b"\n".join(_kept(t, d)[0]).decode("utf-8", "replace") for t, d in zip(text, drop, strict=True)], dtype=object)
 
-    df = _marked(documents, batches).withColumn("text", rest(F.col("text").cast("string"), "_drop"))
+    df, drop = _marked(documents, batches)
+    df = df.withColumn("text", rest(F.col("text").cast("string"), drop))
     if "n_chars" in documents.columns:
         df = df.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(documents.schema["n_chars"].dataType))
     return df.select(*documents.columns)

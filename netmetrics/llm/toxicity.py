@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netmetrics.llm import common as c
-from netmetrics.llm.sampling import bounded, held_out
+from netmetrics.llm.sampling import bounded, held_out, piece
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW, STRIDE, LEVEL, ORDINARY_BYTES = 32, 20, 6, 8192
 #: Bytes of weighted words in the first toxic dictionary that is tried; each further one has twice as many, the last all.
 FIRST_BYTES = 256
-#: The classifier is fitted on at most about so many labelled rows of each class.
-TRAIN_ROWS = 2500
+#: The classifier is fitted on at most about so many labelled rows of each class, and so many characters of each.
+TRAIN_ROWS, TRAIN_CHARS = 2500, 20_000
 RESULT = "doc_id long, held_out boolean, score double, predicted int, saved_most double"
 
 
@@ -139,13 +139,15 @@ def training_rows(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROW
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     chosen = bounded(marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), rows, "toxic")
     found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most about 2 x rows ids
+    found = found.withColumn("text", piece("text", TRAIN_CHARS))
     return [(t, y) for _, t, y in sorted((r[0], r[1] or "", r[2]) for r in found.collect())]
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, saved_most for each row of documents; only the text is looked at.
 
-    Null and empty texts have one empty window. Without labels of both kinds every score is 0.5 less a margin: 0.
+    Null and empty texts have one empty window; very long texts are scored whole. Without labels of both kinds every score
+    is 0. Rows that repeat a doc_id are each scored; a null doc_id is held out; an empty table gives no rows.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # two dictionaries: 8 KB and the toxic words of a bounded sample
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -141,29 +142,54 @@ def test_line_dedup(rows, docs):
 def test_line_runs_compact(spark):
     store = line_dedup.LineRuns(spark, fan_in=2)
     for k in range(5):
-        found, _ = store.ingest(spark.createDataFrame([(k, 1, 1), (k, 2, k)], "k long, h1 long, h2 long"))
+        found = store.ingest(spark.createDataFrame([(k, 1, 1), (k, 2, k)], "k long, h1 long, h2 long"))
         assert sorted(map(tuple, found.collect())) == ([] if k == 0 else [(k, 1, 1)])
     assert len(store.runs()) == 2 and len(store.levels) == 3
     store.close()
 
 
+def brute_quality(t):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
+    word, t = re.compile(r"[^\x20\x09-\x0D]+"), t or ""
+    w, seen, lines, line_chars = word.findall(t), set(), 0, 0
+
+    def inside(n):
+        grams = [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
+        often = {g for g, m in Counter(grams).items() if m > 1}
+        return {k + j for k, g in enumerate(grams) if g in often for j in range(n)}
+
+    for x in t.split("\n"):
+        if x in seen and word.search(x):
+            lines += 1
+            line_chars += sum(map(len, word.findall(x)))
+        seen.add(x)
+    chars = sum(map(len, w))
+    failed = len(w) < 20 or 100 * len(inside(8)) > 30 * len(w)
+    bad = 100 * line_chars > 40 * chars or any(100 * sum(len(w[k]) for k in inside(n)) > limit * chars for n, limit in ((5, 50), (8, 35), (12, 30)))
+    return len(w), chars, len(re.findall(r"[#*$%&|<>]", t)), lines, len(inside(8)), failed, not failed and not bad
+
+
 def test_quality(rows, docs):
     got = by_id(quality.quality(docs))
-    for d, t in rows.items():
-        w, lines, seen = re.findall(r"[^\x20\x09-\x0D]+", t or ""), 0, set()
-        grams = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
-        again = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(8)} if len(w) < 3500 else set(range(len(w)))
-        for x in (t or "").split("\n"):
-            lines += x in seen and bool(re.search(r"[^\x20\x09-\x0D]", x))
-            seen.add(x)
-        if d == 26:  # three thousand random words
-            again = set(range(got[d][4]))
-        assert got[d][:5] == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), lines, len(again)), d
-        assert got[d][5] == (len(w) < 20 or 100 * len(again) > 30 * len(w)) and (not got[d][6] or not got[d][5])
+    assert {d: x[:7] for d, x in got.items()} == {d: brute_quality(t) for d, t in rows.items()}
     kept = quality.keep_quality(docs)
     assert {r["doc_id"] for r in kept.collect()} == {d for d, x in got.items() if x[6]} and kept.columns == docs.columns
 
 
+def test_quality_verdicts(spark):
+    rng = random.Random(6)
+    fresh = lambda n: " ".join(f"w{rng.random():.9f}" for _ in range(n))
+    one, line = fresh(10), fresh(3)
+    texts = {k: " ".join(part for _ in range(2) for part in (one, fresh(m))) for k, m in enumerate(range(0, 60, 3))}
+    texts |= {100 + m: "\n".join([line] * m + [fresh(30)]) for m in range(1, 20)}
+    phrase = fresh(6)
+    texts |= {200 + m: " ".join(part for _ in range(6) for part in (phrase, fresh(m))) for m in range(1, 12)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {d: brute_quality(t) for d, t in texts.items()}
+    assert {d: x[:7] for d, x in by_id(quality.quality(df)).items()} == want
+    assert {x[5:] for x in want.values()} == {(True, False), (False, False), (False, True)}
+
+
 def brute_pieces(rows):
     out = {}
     for d, t in rows.items():
@@ -250,21 +276,35 @@ def brute_components(rows):
     return {d: (len(sets[d]), comp[d]) for d in rows}
 
 
-@pytest.mark.parametrize("short", [12, 2])
-def test_jaccard(rows, docs, short, monkeypatch):
+def test_jaccard(rows, docs):
     want = brute_components(rows)
     assert by_id(jaccard.near_duplicates(docs)) == want
-    if short == 12:
-        kept = jaccard.drop_near_duplicates(docs)
-        assert {r["doc_id"] for r in kept.collect()} == {d for d, x in want.items() if d == x[1]} and kept.columns == docs.columns
+    kept = jaccard.drop_near_duplicates(docs)
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, x in want.items() if d == x[1]} and kept.columns == docs.columns
 
 
-def test_jaccard_long_lists(spark):
+@pytest.mark.parametrize(("short", "few", "turns", "split"), [(12, 48, 2, 1024), (2, 1, 1, 7), (2, 0, 0, 5)])
+def test_jaccard_long_lists(spark, short, few, turns, split, monkeypatch):
+    for name, x in (("SMALL_LIST", short), ("FEW", few), ("TURNS", turns), ("SPLIT", split)):
+        monkeypatch.setattr(jaccard, name, x)
     rng = random.Random(3)
     base = [f"w{k}" for k in range(150)]
-    rows = {d: " ".join(w if rng.random() > 0.025 else f"n{rng.random()}" for w in base) for d in range(60)}
+    noisy = lambda words, share: " ".join(w if rng.random() > share else f"n{rng.random()}" for w in words)
+    rows = {d: noisy(base, 0.025) for d in range(60)}
+    rows |= {100 + d: noisy(base[:40] + [f"{d % 4}x{k}" for k in range(60)], 0.02) for d in range(40)}  # groups that share a passage
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    assert by_id(jaccard.near_duplicates(df)) == brute_components(rows)
+    want = brute_components(rows)
+    assert by_id(jaccard.near_duplicates(df)) == want and len({x[1] for x in want.values()}) > 5
+
+
+def test_fragments_are_cuts_of_the_order():
+    level = np.random.default_rng(2).integers(0, 60, 1 << jaccard.SKETCH).astype(np.uint8)
+    cuts = jaccard.order_cuts(level, 16)
+    g = np.random.default_rng(3).integers(0, 2**63, 100_000).astype(np.uint64) << np.uint64(1)
+    own = level[(g >> np.uint64(64 - jaccard.SKETCH)).astype(np.int64)]
+    to = np.searchsorted(cuts, jaccard.order_key(g, own), "right")
+    order = np.lexsort((g, own))
+    assert (np.diff(to[order]) >= 0).all() and len(np.unique(to)) == 16
 
 
 def test_language_and_toxicity():
@@ -372,3 +412,83 @@ def test_many_secrets_in_a_text(spark):
     got = secrets.secret_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     want = [(m.start(), m.end()) for m in re.finditer(r"token = abc\d{5}", text)]
     assert got["n_assign"] == 700 and got["spans"].split(",") == [f"assign:{a}:{z}" for a, z in want]
+
+
+CLASHES = "doc_id long, text string, k long, _k long, _drop string, drop int, _gone string, gone boolean, tag int, size double, part int, blob string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, rows):
+    """Rows with a null id, repeated rows, an id with two texts, and columns that operators could use for themselves."""
+    base = [(d, t) for d, t in rows.items() if d not in (26,)] + [(None, rows[8]), (None, None), (9, rows[9]), (9, rows[20]), (8, rows[8])]
+    return spark.createDataFrame([(d, t, 10 + k, 20 + k, f"d{k}", k, f"g{k}", k % 2 == 0, k, k / 2, k, f"b{k}") for k, (d, t) in enumerate(base)], CLASHES)
+
+
+def other_columns(df):
+    return sorted(tuple(r)[2:] for r in df.collect())
+
+
+def test_columns_of_clashing_names_survive(spark, odd):
+    bench = spark.createDataFrame([(1, "nowhere to be found")], "item_id long, text string")
+    all_rows = {x[0]: x for x in other_columns(odd)}
+    for df in (line_dedup.line_dedup(odd), jaccard.drop_near_duplicates(odd), quality.keep_quality(odd), decontamination.remove_contaminated(odd, bench)):
+        assert df.columns == odd.columns
+        got = other_columns(df)
+        assert got and all(all_rows[x[0]] == x for x in got) and len(got) == len({x[0] for x in got})
+    assert len(other_columns(line_dedup.line_dedup(odd))) == len(all_rows)
+
+
+def test_every_row_has_a_result(spark, odd):
+    n, bench = odd.count(), spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    m, t = langid.fitted(odd.selectExpr("*", "'en' AS lang")), toxicity.train([("you idiot there", 1), ("a fine day", 0)] * 20)
+    reports = {
+        1: decontamination.contamination(odd, bench), 2: tokens.token_counts(odd), 3: substring_dedup.substring_report(odd), 4: line_dedup.line_dedup_report(odd), 5: langid.identify(odd, m),
+        6: quality.quality(odd), 7: packing.pack(odd).where("piece = 0"), 8: secrets.secret_report(odd), 9: toxicity.score(odd, t), 10: jaccard.near_duplicates(odd),
+    }
+    ids = sorted((r[0] is None, r[0]) for r in odd.select("doc_id").collect() if r[0] is not None)
+    for k, df in reports.items():
+        got = [r[0] for r in df.select("doc_id").collect()]
+        assert len(got) == n and got.count(None) == 2 and sorted((False, x) for x in got if x is not None) == ids, k
+    for k in (5, 9):
+        got = reports[k].collect()
+        assert all(0 <= r["score"] <= 1 for r in got) and all(r["held_out"] for r in got if r["doc_id"] is None)
+        assert len({(r["score"],) for r in got if r["doc_id"] in (0, 1)}) == 1  # null and empty texts alike
+        assert len({r["score"] for r in got if r["doc_id"] == 8}) == 1  # repeated rows alike
+
+
+def test_learned_operators_on_empty_tables(spark, docs):
+    none = docs.limit(0)
+    m, t = langid.fitted(none), toxicity.fitted(none, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert m.languages == [] and langid.identify(none, m).count() == toxicity.score(none, t).count() == 0
+    assert {(r["lang_pred"], r["score"]) for r in langid.identify(docs, m).collect()} == {("und", 0.0)}
+
+
+def test_samples_are_bounded_for_each_value(spark):
+    from netmetrics.llm.sampling import bounded, piece
+
+    df = spark.range(20000).selectExpr("id AS doc_id", "CASE WHEN id < 30 THEN 'rare' ELSE 'often' END AS lang", "id AS size")
+    got = {r[0]: r[1] for r in bounded(df, 500, "lang").groupBy("lang").count().collect()}
+    assert got["rare"] == 30 and 400 < got["often"] < 600 and bounded(df, 500, "lang").columns == df.columns
+    text = "".join(chr(97 + k % 26) for k in range(1000))
+    got = [r[0] for r in spark.range(50).selectExpr("id AS doc_id", f"'{text}' AS text").select(piece("text", 100)).collect()]
+    assert all(len(x) == 100 and x in text for x in got) and len(set(got)) > 10
+
+
+def test_components_settle_or_raise(spark, tmp_path, monkeypatch):
+    from netmetrics.llm import components as cc
+
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {r["component"] for r in cc.components(path, f"file://{tmp_path}", "x").collect()} == {0}
+    monkeypatch.setattr(cc, "MOST_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="not settled"):
+        cc.components(path, f"file://{tmp_path}", "y")
+
+
+def test_longest_match_is_each_documents_own(spark):
+    w = [f"w{k}" for k in range(60)]
+    df = spark.createDataFrame([(1, " ".join(w[:12])), (2, " ".join(w[:40])), (3, " ".join(w[20:33]) + " x " + " ".join(w[5:16])), (4, "w1 w2")], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    assert {r["doc_id"]: r["longest_match"] for r in decontamination.contamination(df, bench).collect()} == {1: 12, 2: 40, 3: 13, 4: 0}
+    for block in (1 << 20, 10):
+        places = {(r["doc_id"], r["item_word"], r["doc_word"], r["n_words"]) for r in decontamination.matches(df, bench, block=block).collect()}
+        assert (2, 0, 0, 40) in places

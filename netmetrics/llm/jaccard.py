@@ -34,9 +34,9 @@ FEW = 48
 #: At most so many turns of that.
 TURNS = 2
 #: Entries of a long list that meet as many others in one task; a longer one is dealt out in blocks.
-SPLIT = 1024
+SPLIT = 256
 #: Prefix shingles of a fragment, about; most of them lie in the first HEAD of the order, by mass.
-ENTRIES, HEAD = 500_000, 0.35
+ENTRIES, HEAD = 125_000, 0.3
 #: Bits of a class's parity bitmap, which bounds overlaps from above; larger sets are pruned less, never wrongly.
 BITS = 2048
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -374,7 +374,7 @@ def similar_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     fragments = max(4, parts // 2, int(entries) // ENTRIES)
     shared = spark.sparkContext.broadcast((level, order_cuts(level, fragments)))  # 2**SKETCH bytes, and a number for each fragment
     sent = texts.mapInArrow(_prefixes(shared, fragments), "fragment long, entries long, docs long, packed binary")
-    found = c.written(sent.repartition(max(parts, fragments), "fragment").sortWithinPartitions("fragment").mapInArrow(functools.partial(_count, short=SMALL_LIST), FOUND), folder, "found")
+    found = c.written(sent.repartition(max(parts, fragments // 4), "fragment").sortWithinPartitions("fragment").mapInArrow(functools.partial(_count, short=SMALL_LIST), FOUND), folder, "found")
     partial = found.where("kind = 0").groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("x").alias("both"), F.max("key").alias("hope")).where("hope > 0")
     # a shingle of a long list may be common to a pair and not be counted: no pair has more of them than its poorer class
     more = found.where("kind = 2").groupBy("a").agg(F.sum("x").alias("more"))

@@ -6,29 +6,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that draw the cuts of text columns, about, whatever the table's size.
+SAMPLE = 20_000
+
+
 def prefix_ranked(df: DataFrame, order: str) -> DataFrame:
     """df with ``rank``: 1, 2, … by a column of distinct values."""
     return exclusive_sums(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", "rank").withColumn("rank", F.col("rank") + 1).drop("_one")
 
 
-def exclusive_sums(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+def cuts(df: DataFrame, order: str, parts: int) -> list:
+    """Values that part df into ``parts`` ranges of about as many rows: quantiles of numbers, of text those of a sample."""
+    at = [k / parts for k in range(1, parts)]
+    if dict(df.dtypes)[order] != "string":
+        return sorted(set(df.agg(F.percentile_approx(order, at, 10000).alias("q")).first()["q"] or []))
+    n = df.count()
+    drawn = df.select(order).where(F.col(order).isNotNull() & (F.xxhash64(order).bitwiseAND(F.lit(2**62 - 1)) <= int(2**62 * min(1.0, SAMPLE / max(1, n)))))
+    got = sorted(r[0] for r in drawn.collect())  # about SAMPLE values
+    return sorted({got[int(x * len(got))] for x in at}) if got else []
+
+
+def exclusive_sums(df: DataFrame, order: str, value: str, out: str, parts: int | None = None) -> DataFrame:
     """df with ``out``: the sum of ``value`` over all rows before, 0 for the first.
 
-    Parts are ranges of ``order``; a row for each part carries the sum of those before it.
+    Parts, as many as shuffle partitions, are ranges of ``order``; a row for each part carries the sum of those before it.
     """
-    # parts are computed from the value, so both uses agree; text is parted by its first character
-    cuts = df.agg(F.percentile_approx(order, [k / 64 for k in range(1, 64)], 10000).alias("q")).first()["q"] if dict(df.dtypes)[order] not in ("string",) else None
-    part: Column = F.lit(0)
-    if cuts:
-        for cut in sorted(set(cuts)):
-            part = part + F.when(F.col(order) > F.lit(cut), 1).otherwise(0)
-    elif cuts is None:
-        part = F.coalesce(F.ascii(order), F.lit(0))
+    found = cuts(df, order, parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # the number of cuts below a value: the part is computed from the value, so both uses agree
+    part = F.coalesce(_below(F.col(order), found), F.lit(0))
     dealt = df.withColumn("_part", part)
     inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy("_part").agg(F.sum(value).alias("_t"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    return dealt.join(F.broadcast(before), "_part").withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("_before")).drop("_part", "_before")
+    return dealt.join(F.broadcast(before), "_part").withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("_before")).drop("_part", "_before")  # a row for each part
+
+
+def _below(x: Column, found: list, base: int = 0) -> Column:
+    """How many of the sorted cuts are less than x, by halving: a few comparisons a row for any number of cuts."""
+    if not found:
+        return F.lit(base)
+    middle = len(found) // 2
+    return F.when(x > F.lit(found[middle]), _below(x, found[middle + 1 :], base + middle + 1)).otherwise(_below(x, found[:middle], base))
 
 
 def flushed(x: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netmetrics.sources.shared import stored
+
 
 def require_graph(g: object) -> Graph:
     if not isinstance(g, Graph):
@@ -23,6 +25,8 @@ class Graph:
         self.vertices = vertices.select(F.col("id").cast("long").alias("id"), F.col("name").cast("string").alias("name"))
         self.edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
         self.simplify = simplify
+        self.arrays = None  # what operators.paths made of a small graph
+        self._oriented: DataFrame | None = None
 
     @classmethod
     def from_edges(cls, edges: DataFrame, vertices: DataFrame | None = None, simplify: bool = True) -> Graph:
@@ -55,6 +59,19 @@ class Graph:
         ends = self.canonical().select(F.explode(F.array("src", "dst")).alias("id"), "mult")
         return self.vertices.select("id").join(ends.groupBy("id").agg(F.sum("mult").alias("degree")), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
+    def oriented(self) -> DataFrame:
+        """(x, y, dx, dy, mult): each edge once, from its end of lower (degree, id) to the other; no loops.
+
+        A table in the shared folder, made once for each graph: neighbourhood measures read it instead of the source.
+        """
+        if self._oriented is None:
+            d = self.degree()
+            e = self.canonical().where("src < dst").join(d.select(F.col("id").alias("src"), F.col("degree").alias("ds")), "src").join(d.select(F.col("id").alias("dst"), F.col("degree").alias("dd")), "dst")
+            low, high = F.struct(F.col("ds").alias("d"), F.col("src").alias("i")), F.struct(F.col("dd").alias("d"), F.col("dst").alias("i"))
+            e = e.select(F.least(low, high).alias("l"), F.greatest(low, high).alias("h"), "mult")
+            self._oriented = stored(e.select(F.col("l.i").alias("x"), F.col("h.i").alias("y"), F.col("l.d").alias("dx"), F.col("h.d").alias("dy"), "mult"), "oriented")
+        return self._oriented
+
     def n(self) -> int:
         return self.vertices.count()
 

@@ -6,7 +6,6 @@ larger one is searched level by level with joins, all sources together, each lev
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netmetrics.graph import Graph, require_graph
+from netmetrics.sources.shared import stored
 
 #: Directed edges of a graph that is sent whole to every task: 24 bytes each.
 LIMIT = 1_000_000
@@ -61,13 +61,21 @@ class Arrays:
 
 
 def arrays(g: Graph, limit: int = LIMIT) -> Arrays | None:
-    """The graph as arrays, or None if it has more than ``limit`` edges (counted both ways) or vertices."""
-    adj = g.adjacency()
-    if adj.limit(limit + 1).count() > limit or g.vertices.limit(limit + 1).count() > limit:
-        return None
-    e = adj.toPandas()
-    ids = np.unique(g.vertices.select("id").toPandas()["id"].to_numpy(np.int64))
-    return Arrays(ids, e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64), e["mult"].to_numpy(np.int64))
+    """The graph as arrays, or None if it has more than ``limit`` edges (counted both ways) or vertices.
+
+    One job of at most 1.5 x limit + 2 rows; a graph remembers its arrays.
+    """
+    if g.arrays is None:
+        half = g.canonical().where("src < dst").limit(limit // 2 + 1)
+        ids = g.vertices.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0).cast("long").alias("mult")).limit(limit + 1)
+        got = half.unionByName(ids).toArrow()
+        edge = got["mult"].to_numpy() > 0
+        if 2 * edge.sum() > limit or (~edge).sum() > limit:
+            return None
+        src, mult = got["src"].to_numpy(), got["mult"].to_numpy()[edge]
+        a, b = src[edge], got["dst"].drop_null().to_numpy()
+        g.arrays = Arrays(np.unique(src[~edge]), np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([mult, mult]))
+    return g.arrays if max(len(g.arrays.to), len(g.arrays.ids)) <= limit else None
 
 
 def over_sources(g: Graph, a: Arrays, sources: DataFrame | None, f: Callable[[Arrays, Iterator[int]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -96,20 +104,6 @@ def _rows(x: Arrays, places: Iterator[int]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), x.ids[s])), pa.array(x.ids[v]), pa.array(d[v]), pa.array(sigma[v])], ["s", "v", "d", "sigma"])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared checkpoint folder: the end of its lineage."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = got.get() if got.isDefined() else f"file://{tempfile.gettempdir()}/netmetrics"
-    path = f"{base.rstrip('/')}/paths-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def shortest_paths(g: Graph, sources: DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
     """(s, v, d, sigma): distance and number of shortest paths (by multiplicity); unreachable pairs are absent.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +15,8 @@ from netmetrics.operators.betweenness import betweenness
 from netmetrics.operators.bridging import bridging, cohesion_without
 from netmetrics.operators.paths import cohesion, shortest_paths
 from netmetrics.sources.files import read_csv_graph
-from netmetrics.sources.tables import peers, places, table
+from netmetrics.sources.shared import shared_path
+from netmetrics.sources.tables import peers, places, ring, table
 
 
 def _r(x: str) -> Column:
@@ -30,8 +29,7 @@ def _scores(df: DataFrame, column: str) -> DataFrame:
 
 def _csv(spark: SparkSession, d: str) -> DataFrame:
     """The peers as a CSV edge list, written and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/netmetrics"
-    path = f"{base.rstrip('/')}/edges-{os.urandom(8).hex()}.csv"
+    path = shared_path(spark, "edges.csv")
     peers(spark, d).canonical().select(F.col("src").alias("from"), F.col("dst").alias("to"), F.lit("x").alias("more")).write.csv(path, header=True)
     g = read_csv_graph(spark, path)
     names = g.vertices
@@ -59,6 +57,13 @@ def _paths(x: DataFrame) -> DataFrame:
     return x.select("s", "v", F.col("d").cast("long").alias("d"), _r("sigma"))
 
 
+def _stochastic(spark: SparkSession, d: str) -> DataFrame:
+    """The fit of the pair that the stochastic search finds: on these tables the best there is."""
+    g = peers(spark, d)
+    found = kp.keyplayer(g, 2, seed=1, workers=4)
+    return kp.fit(g, [r["id"] for r in found.collect()]).select("n_members", _r("fit"))
+
+
 def _triangles(spark: SparkSession, d: str) -> DataFrame:
     t = local.triangles(peers(spark, d))
     x = F.array_sort(F.array("a", "b", "c"))
@@ -93,13 +98,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cohesion_without_edge": lambda s, d: cohesion_without(places(s, d)).select("src", "dst", _r("cohesion")),
         "bridging": lambda s, d: bridging(places(s, d)).select("id", "name", (F.round("bridging", 9) + 0.0).alias("bridging")),
         "bridging_peers": lambda s, d: bridging(peers(s, d)).select("id", "name", (F.round("bridging", 9) + 0.0).alias("bridging")),
+        "bridging_ring": lambda s, d: bridging(ring(s, d)).select("id", "name", (F.round("bridging", 9) + 0.0).alias("bridging")),
         "kpp_fit_fixed_set": lambda s, d: kp.fit(places(s, d), _three(s, d)).select("n_members", _r("fit")),
         "kpp_single_fits": lambda s, d: kp.single_fits(places(s, d)).select("id", _r("fit")),
         "kpp_best_single": lambda s, d: kp.single_fits(places(s, d)).select("id", _r("fit")).orderBy(F.desc("fit"), "id").limit(1),
         "kpp_best_pair": lambda s, d: kp.best_pair(peers(s, d)).select("a", "b", _r("fit")),
         "kpp_swap_gains": lambda s, d: kp.swap_fits(places(s, d), _three(s, d)).select("u", "v", _r("fit")),
         "keyplayer_greedy": lambda s, d: kp.greedy(peers(s, d), 1).select("id", "name"),
-        "keyplayer_stochastic": lambda s, d: kp.keyplayer(peers(s, d), 3, maxsec=10, roundsec=3, seed=1, workers=4),
+        "keyplayer_greedy_three": lambda s, d: kp.greedy(ring(s, d), 3).select("id", "name"),
+        "keyplayer_stochastic": _stochastic,
     }
 
 
@@ -131,6 +138,7 @@ SELECT id, name, round(coalesce(x, 0){" / 2" if half else ""}, 6) + 0.0 AS betwe
 
 _CORNERS = """co AS (SELECT a.src AS i, a.dst AS j, b.dst AS q, a.mult AS ij, b.mult AS iq, c.mult AS jq FROM adj a JOIN adj b ON a.src = b.src AND a.dst <> b.dst JOIN adj c ON c.src = a.dst AND c.dst = b.dst)"""
 _THREE = "three AS (SELECT -1 - s_nationkey::BIGINT AS id FROM supplier GROUP BY s_nationkey ORDER BY count(*) DESC, s_nationkey LIMIT 3)"
+_RING = _PLACES.replace("FROM nation)", "FROM nation UNION SELECT a.s_suppkey, b.s_suppkey FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1)")
 _CLOSE = "n AS (SELECT count(*) AS n FROM vx)"
 
 
@@ -146,17 +154,42 @@ k AS (SELECT id, sum(p * p) AS c FROM p GROUP BY 1)
 SELECT id, name, round(coalesce(c, 0), 6) + 0.0 AS constraint FROM vx LEFT JOIN k USING (id) WHERE {where}"""
 
 
-#: Distances of the forest without each edge, by brute force: walks by (edge, source), at most 4 steps long.
-_MASKED = f"""WITH RECURSIVE {_graph(_PLACES)}, {_CLOSE},
+def _masked(which: str, most: int) -> str:
+    """Distances without each edge, by brute force: walks by (edge, source), at most so many steps long."""
+    return f"""WITH RECURSIVE {_graph(which)}, {_CLOSE},
 w AS (SELECT e.src AS e0, e.dst AS e1, vx.id AS s, vx.id AS v, 0::BIGINT AS d FROM m e, vx
- UNION ALL SELECT DISTINCT w.e0, w.e1, w.s, adj.dst, w.d + 1 FROM w JOIN adj ON w.v = adj.src WHERE w.d < 4 AND NOT (adj.src = w.e0 AND adj.dst = w.e1) AND NOT (adj.src = w.e1 AND adj.dst = w.e0)),
+ UNION ALL SELECT DISTINCT w.e0, w.e1, w.s, adj.dst, w.d + 1 FROM w JOIN adj ON w.v = adj.src WHERE w.d < {most} AND NOT (adj.src = w.e0 AND adj.dst = w.e1) AND NOT (adj.src = w.e1 AND adj.dst = w.e0)),
 sp AS (SELECT e0, e1, s, v, min(d) AS d FROM w GROUP BY ALL),
+w0 AS (SELECT s, v, d FROM sp UNION ALL SELECT e0, e1, 1 FROM sp UNION ALL SELECT e1, e0, 1 FROM sp),
 ce AS (SELECT e0, e1, coalesce(sum(1.0::DOUBLE / d) FILTER (WHERE s < v), 0) / (n * (n - 1)) AS c FROM sp, n GROUP BY e0, e1, n)"""
 
 
+def _bridging(which: str, most: int) -> str:
+    return f"""{_masked(which, most)}, whole AS (SELECT s, v, min(d) AS d FROM w0 GROUP BY 1, 2),
+c0 AS (SELECT sum(1.0::DOUBLE / d) FILTER (WHERE s < v) / (any_value(n) * (any_value(n) - 1)) AS c FROM whole, n),
+x AS (SELECT id, sum(c0.c - ce.c) / count(*) AS b FROM ce CROSS JOIN c0 JOIN vx ON vx.id = e0 OR vx.id = e1 GROUP BY 1)
+SELECT id, name, round(coalesce(b, 0), 9) + 0.0 AS bridging FROM vx LEFT JOIN x USING (id)"""
+
+
+#: The greedy search with k = 3 played back: the three best single vertices, then in each round the best of all swaps.
+_GREEDY = f"""{_walks(_RING, 12)}, {_CLOSE}, one AS (SELECT s AS id, sum(1.0::DOUBLE / nullif(d, 0)) / any_value(n) AS fit FROM sp, n GROUP BY 1),
+top AS (SELECT list_sort(list(id)) AS m FROM (SELECT id FROM one ORDER BY round(fit, 9) DESC, id LIMIT 3)),
+pr AS (SELECT s, v, d FROM sp WHERE s <> v),
+st AS (SELECT m, (SELECT sum(1.0::DOUBLE / d) / any_value(n) FROM (SELECT v, min(d) AS d FROM pr, top WHERE list_contains(m, s) AND NOT list_contains(m, v) GROUP BY 1), n) AS fit, 0 AS k FROM top
+ UNION ALL SELECT b.m, b.fit, k + 1 FROM (
+  SELECT arg_min({{'m': m, 'fit': fit}}, {{'a': -round(fit, 9), 'u': u, 'w': w}}) AS b, any_value(k) AS k, any_value(old) AS old FROM (
+   SELECT u, w, m, any_value(k) AS k, any_value(old) AS old, sum(1.0::DOUBLE / d) / any_value(n) AS fit FROM (
+    SELECT u, w, m, v, min(d) AS d, any_value(k) AS k, any_value(old) AS old FROM (
+     SELECT u, vx.id AS w, list_sort(list_append(list_filter(m0, lambda x: x <> u), vx.id)) AS m, k, old FROM (SELECT m AS m0, unnest(m) AS u, k, fit AS old FROM st WHERE k < 50), vx WHERE NOT list_contains(m0, vx.id)) c
+    JOIN pr ON list_contains(m, pr.s) AND NOT list_contains(m, pr.v) GROUP BY u, w, m, v), n GROUP BY u, w, m))
+ WHERE b.fit >= old + 1e-4)
+SELECT id, name FROM (SELECT unnest(arg_max(m, k)) AS id FROM st) JOIN vx USING (id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     forest, forest_n = _walks(_PLACES, 4), _walks(_PLACES, 4) + f", {_CLOSE}"
     one = "one AS (SELECT vx.id, coalesce(sum(1.0::DOUBLE / nullif(sp.d, 0)), 0) / any_value(n) AS fit FROM vx CROSS JOIN n LEFT JOIN sp ON sp.s = vx.id GROUP BY 1)"
+    pair = f"{_walks(_PEERS)}, {_CLOSE}, pr AS (SELECT x.id AS a, y.id AS b FROM vx x JOIN vx y ON x.id < y.id), near AS (SELECT a, b, v, min(d) AS d FROM pr JOIN sp ON sp.s = a OR sp.s = b WHERE v <> a AND v <> b GROUP BY 1, 2, 3), best AS (SELECT a, b, round(sum(1.0::DOUBLE / d) / any_value(n), 6) + 0.0 AS fit FROM near, n GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 1)"
     return {
         "canonical_edges": f"WITH {_PEERS} SELECT src, dst, mult FROM m",
         "adjacency": f"WITH {_graph(_PEERS, True)} SELECT src, dst, mult FROM adj",
@@ -181,15 +214,15 @@ def oracle_sql() -> dict[str, str]:
         "betweenness_undirected": _between(_PEERS, True),
         "betweenness_sampled": _between(_PEERS, sources="id % 2 = 0"),
         "cohesion": f"{forest_n} SELECT round(sum(1.0::DOUBLE / d) FILTER (WHERE s < v) / (any_value(n) * (any_value(n) - 1)), 6) + 0.0 AS cohesion FROM sp, n",
-        "cohesion_without_edge": f"{_MASKED} SELECT e0 AS src, e1 AS dst, round(c, 6) + 0.0 AS cohesion FROM ce",
-        "bridging": f"""{_MASKED}, whole AS (SELECT s, v, min(d) AS d FROM (SELECT s, v, d FROM sp UNION ALL SELECT e0, e1, 1 FROM sp UNION ALL SELECT e1, e0, 1 FROM sp) GROUP BY 1, 2),
-c0 AS (SELECT sum(1.0::DOUBLE / d) FILTER (WHERE s < v) / (any_value(n) * (any_value(n) - 1)) AS c FROM whole, n),
-x AS (SELECT id, sum(c0.c - ce.c) / count(*) AS b FROM ce CROSS JOIN c0 JOIN vx ON vx.id = e0 OR vx.id = e1 GROUP BY 1)
-SELECT id, name, round(coalesce(b, 0), 9) + 0.0 AS bridging FROM vx LEFT JOIN x USING (id)""",
+        "cohesion_without_edge": f"{_masked(_PLACES, 4)} SELECT e0 AS src, e1 AS dst, round(c, 6) + 0.0 AS cohesion FROM ce",
+        "bridging": _bridging(_PLACES, 4),
+        "bridging_ring": _bridging(_RING, 12),
         "kpp_fit_fixed_set": f"{forest_n}, {_THREE}, near AS (SELECT v, min(d) AS d FROM sp WHERE s IN (SELECT id FROM three) AND v NOT IN (SELECT id FROM three) GROUP BY 1) SELECT 3::BIGINT AS n_members, round(sum(1.0::DOUBLE / d) / any_value(n), 6) + 0.0 AS fit FROM near, n",
         "kpp_single_fits": f"{forest_n}, {one} SELECT id, round(fit, 6) + 0.0 AS fit FROM one",
         "kpp_best_single": f"{forest_n}, {one} SELECT id, round(fit, 6) + 0.0 AS fit FROM one ORDER BY 2 DESC, 1 LIMIT 1",
-        "kpp_best_pair": f"{_walks(_PEERS)}, {_CLOSE}, pr AS (SELECT x.id AS a, y.id AS b FROM vx x JOIN vx y ON x.id < y.id), near AS (SELECT a, b, v, min(d) AS d FROM pr JOIN sp ON sp.s = a OR sp.s = b WHERE v <> a AND v <> b GROUP BY 1, 2, 3) SELECT a, b, round(sum(1.0::DOUBLE / d) / any_value(n), 6) + 0.0 AS fit FROM near, n GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 1",
+        "kpp_best_pair": f"{pair} SELECT a, b, fit FROM best",
         "kpp_swap_gains": f"{forest_n}, {_THREE}, sw AS (SELECT t.id AS u, vx.id AS v FROM three t, vx WHERE vx.id NOT IN (SELECT id FROM three)), mem AS (SELECT u, v, three.id AS x FROM sw JOIN three ON three.id <> u UNION ALL SELECT u, v, v FROM sw), near AS (SELECT mem.u, mem.v, sp.v AS t, min(sp.d) AS d FROM mem JOIN sp ON sp.s = mem.x GROUP BY 1, 2, 3) SELECT u, v, round(sum(1.0::DOUBLE / nullif(d, 0)) / any_value(n), 6) + 0.0 AS fit FROM near, n GROUP BY 1, 2",
         "keyplayer_greedy": f"{_walks(_PEERS)}, {_CLOSE}, {one} SELECT id, name FROM one JOIN vx USING (id) ORDER BY round(fit, 9) DESC, id LIMIT 1",
+        "keyplayer_greedy_three": _GREEDY,
+        "keyplayer_stochastic": f"{pair} SELECT 2::BIGINT AS n_members, fit FROM best",
     }

@@ -20,6 +20,13 @@ def peers(spark: SparkSession, sf_dir: str, simplify: bool = True) -> Graph:
     return Graph(users, pairs, simplify)
 
 
+def ring(spark: SparkSession, sf_dir: str) -> Graph:
+    """The forest of places, and suppliers of consecutive keys tied to each other: many cycles, a few edges a vertex."""
+    g = places(spark, sf_dir)
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"))
+    return Graph(g.vertices, g.edges.unionByName(s.join(s.select(F.col("src").alias("dst")), F.col("dst") == F.col("src") + 1)))
+
+
 def places(spark: SparkSession, sf_dir: str) -> Graph:
     """Suppliers tied to their nations, nations to their regions: a forest. Nations are -1 - key, regions -1001 - key."""
     s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))

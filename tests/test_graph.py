@@ -1,7 +1,6 @@
 """Graph operators against exact small graphs, brute force and invariants."""
 
 import itertools
-import math
 from collections import deque
 
 import pytest
@@ -12,7 +11,8 @@ from netmetrics.graph import Graph
 from netmetrics.operators import keyplayer as kp
 from netmetrics.operators.betweenness import betweenness
 from netmetrics.operators.bridging import bridging, edge_losses
-from netmetrics.operators.local import constraint, ens, triangles
+from netmetrics.functions.ordered import cuts, exclusive_sums, prefix_ranked
+from netmetrics.operators.local import constraint, ens, shared_neighbors, triangles
 from netmetrics.operators.paths import cohesion, shortest_paths
 from netmetrics.plans.queries import queries
 from netmetrics.sources.files import read_csv_graph
@@ -28,6 +28,15 @@ SMALL = {
 }
 FAMILIES = "Acciaiuoli-Medici Castellani-Peruzzi Castellani-Strozzi Castellani-Barbadori Medici-Barbadori Medici-Ridolfi Medici-Tornabuoni Medici-Albizzi Medici-Salviati Salviati-Pazzi Peruzzi-Strozzi Peruzzi-Bischeri Strozzi-Ridolfi Strozzi-Bischeri Ridolfi-Tornabuoni Tornabuoni-Guadagni Albizzi-Ginori Albizzi-Guadagni Bischeri-Guadagni Guadagni-Lamberteschi"
 
+#: Degree, betweenness, effective size, constraint and bridging of each family.
+GOLDEN = {
+    "Acciaiuoli": (1, 0, 1, 1, 0.02817460), "Albizzi": (3, 38.666667, 3, 0.333333, 0.01558201), "Barbadori": (2, 17, 2, 0.5, 0.01146825),
+    "Bischeri": (3, 19, 2.333333, 0.482253, 0.00682540), "Castellani": (3, 10, 2.333333, 0.482253, 0.00518519), "Ginori": (1, 0, 1, 1, 0.02539683),
+    "Guadagni": (4, 46.333333, 4, 0.25, 0.01311508), "Lamberteschi": (1, 0, 1, 1, 0.02555556), "Medici": (6, 95, 5.666667, 0.209877, 0.01887566),
+    "Pazzi": (1, 0, 1, 1, 0.02269841), "Peruzzi": (3, 4, 1.666667, 0.655864, 0.00351852), "Ridolfi": (3, 20.666667, 2.333333, 0.459877, 0.00716931),
+    "Salviati": (2, 26, 2, 0.5, 0.03361111), "Strozzi": (4, 18.666667, 3, 0.458333, 0.00511905), "Tornabuoni": (3, 16.666667, 2.333333, 0.459877, 0.00529101),
+}
+
 
 def graph(spark, n, edges, simplify=True):
     v = spark.createDataFrame([(k, str(k)) for k in range(1, n + 1)], "id long, name string")
@@ -60,11 +69,11 @@ def test_joins_agree_with_arrays(spark, name):
 def test_families(spark, tmp_path):
     (tmp_path / "e.csv").write_text("from,to,more\n" + "".join(e.replace("-", ",") + ",x\n" for e in FAMILIES.split()))
     g = read_csv_graph(spark, f"file://{tmp_path}/e.csv")
-    b = {r["name"]: r["betweenness"] for r in betweenness(g).collect()}
-    assert b["Medici"] == pytest.approx(95) and b["Guadagni"] == pytest.approx(46.333333) and b["Pazzi"] == 0
+    for k, f in enumerate((betweenness, ens, constraint, bridging)):
+        name = ("betweenness", "ens", "constraint", "bridging")[k]
+        assert {r["name"]: r[name] for r in f(g).collect()} == pytest.approx({x: v[k + 1] for x, v in GOLDEN.items()}, abs=1e-6 if k < 3 else 1e-8)
+    assert {r["name"]: r["degree"] for r in g.vertices.join(g.degree(), "id").collect()} == {x: v[0] for x, v in GOLDEN.items()}
     assert cohesion(shortest_paths(g), 15).first()[0] == pytest.approx(0.25007937)
-    br = {r["name"]: r["bridging"] for r in bridging(g).collect()}
-    assert br["Salviati"] == pytest.approx(0.03361111) and br["Peruzzi"] == pytest.approx(0.00351852)
     ids = {r["name"]: r["id"] for r in g.vertices.collect()}
     assert [r["name"] for r in kp.greedy(g, 1).collect()] == ["Medici"]
     assert kp.fit(g, [ids["Medici"]]).first()["fit"] == pytest.approx(0.633333, abs=1e-6)
@@ -134,7 +143,13 @@ def test_random(spark, edges):
     whole, simple = c(edges), {tuple(sorted(e)) for e in edges if e[0] != e[1]}
     want = [sum(whole - c(simple - {e}) for e in simple if v in e) / len(near[v]) if near[v] else 0 for v in range(1, 8)]
     assert column(bridging(g), "bridging") == pytest.approx(want, abs=1e-9)
-    assert not any(math.isnan(x) for x in column(constraint(g), "constraint"))
+    n = {v: len(near[v]) for v in near}
+    assert column(ens(g), "ens") == pytest.approx([n[v] - sum(len(near[v] & near[w]) for w in near[v]) / n[v] if n[v] else 0 for v in near])
+    want = [sum((1 / n[v] + sum(1 / (n[v] * n[q]) for q in near[v] & near[w])) ** 2 for w in near[v]) for v in near]
+    assert column(constraint(g), "constraint") == pytest.approx(want)
+    pairs = {(v, w): len(near[v] & near[w]) for v in near for w in near}
+    assert {(r["src"], r["dst"]): r["shared"] for r in shared_neighbors(g).collect()} == {p: x for p, x in pairs.items() if p[1] in near[p[0]]}
+    assert {(r["src"], r["dst"]): r["shared"] for r in shared_neighbors(g, all_pairs=True).collect()} == {p: x for p, x in pairs.items() if x}
 
 
 TWO_PARTS = {
@@ -170,3 +185,78 @@ def test_losses_with_many_paths(spark, copies, limit):
         total = lambda edges: sum(1 / x for s, own in distances(16, edges)[1].items() for v, x in own.items() if s < v)
         want = {tuple(sorted(e)): total(ends + middle) - total(ends + [x for x in middle if x != e]) for e in middle}
         assert got == pytest.approx(want)
+
+
+def test_one_scan_of_the_source(spark):
+    g = graph(spark, 4, [(1, 2), (2, 3), (1, 3), (3, 4)])
+    for df in (triangles(g), shared_neighbors(g), constraint(g)):
+        assert "ExistingRDD[src" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_constraint_in_the_order_given(spark):
+    g = graph(spark, 4, [(1, 2), (2, 3), (1, 3), (3, 4)])
+    got = constraint(g, spark.createDataFrame([(3, 0), (1, 1), (4, 2)], "id long, position int")).orderBy("position").collect()
+    assert [r["id"] for r in got] == [3, 1, 4] and [r["constraint"] for r in got] == pytest.approx([11 / 18, 145 / 144, 1])
+
+
+def test_numeric_names(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("a,b\n01,1\n1,x\n2,01\n")
+    names = lambda **more: {r["name"] for r in read_csv_graph(spark, f"file://{tmp_path}/e.csv", **more).vertices.collect()}
+    assert names() == {"01", "1", "2", "x"} and names(normalize_numeric=True) == {"1", "2", "x"}
+
+
+def test_ranks_of_names_that_begin_alike(spark):
+    df = spark.range(5000).selectExpr("concat('user ', lpad(id * 7919 % 100003, 6, '0')) AS name", "id % 3 AS n")
+    found = cuts(df, "name", 8)
+    rows = sorted((r["name"], r["n"]) for r in df.collect())
+    each = [sum(a <= x < b for x, _ in rows) for a, b in zip(["", *found], [*found, "~"], strict=True)]
+    assert len(found) == 7 and max(each) < 2 * 5000 / 8
+    got = {r["name"]: (r["rank"], r["before"]) for r in exclusive_sums(prefix_ranked(df, "name"), "name", "n", "before", 8).collect()}
+    assert got == {x: (k + 1, sum(n for _, n in rows[:k])) for k, (x, _) in enumerate(rows)}
+
+
+def test_key_player_search(spark):
+    edges = [(1, k) for k in range(2, 8)] + [(8, k) for k in range(9, 14)] + [(14, k) for k in range(15, 19)] + [(7, 9), (13, 15)]
+    g = graph(spark, 18, edges)
+    _, d = distances(18, edges)
+    value = lambda s: sum(1 / min(d[x][v] for x in s) for v in range(1, 19) if v not in s) / 18
+    best = max(map(value, itertools.combinations(range(1, 19), 3)))
+    for members in ([r["id"] for r in kp.greedy(g, 3).collect()], [r["id"] for r in kp.keyplayer(g, 3, maxsec=30, roundsec=10, seed=2, workers=2).collect()]):
+        assert len(members) == 3 and value(members) == pytest.approx(best)
+    again = [r["id"] for r in kp.keyplayer(g, 3, maxsec=30, roundsec=10, seed=2, workers=2).collect()]
+    assert again == members
+    with pytest.warns(UserWarning, match="maxsec"):
+        assert kp.keyplayer(g, 2, maxsec=0, seed=1, workers=2).count() == 2
+    with pytest.warns(UserWarning, match="rounds"):
+        # two hubs of the same leaves, and a path that the swaps would turn to
+        assert kp.greedy(graph(spark, 11, [(h, k) for h in (1, 7) for k in range(2, 7)] + [(8, 9), (9, 10), (10, 11)]), 2, tol=0, rounds=0).count() == 2
+
+
+def test_swaps_are_valued_as_sets(spark):
+    import random
+
+    from netmetrics.operators.keyplayer import _Set
+    from netmetrics.operators.paths import arrays
+
+    rng = random.Random(5)
+    edges = [(rng.randint(1, 30), rng.randint(1, 30)) for _ in range(40)]
+    x = arrays(graph(spark, 30, edges))
+    s = _Set(x, [1, 5, 9])
+    for _ in range(60):
+        u, v = rng.randrange(3), rng.randrange(30)
+        if v not in s.members:
+            fit, row = s.swapped(u, v)
+            assert fit == pytest.approx(_Set(x, [*s.members[:u], v, *s.members[u + 1 :]]).fit)
+            if rng.random() < 0.5:
+                s.take(u, v, fit, row)
+
+
+def test_large_graphs_are_refused_or_joined(spark, monkeypatch):
+    monkeypatch.setattr(kp, "LIMIT", 2)
+    with pytest.raises(ValueError, match="greedy"):
+        kp.keyplayer(graph(spark, 4, [(1, 2), (2, 3), (3, 4)]), 2)
+
+
+def test_loops_and_copies_count_in_degrees(spark):
+    g = graph(spark, 3, [(1, 1), (1, 2), (2, 3)], simplify=False)
+    assert column(g.degree(), "degree") == [3, 2, 1] and column(bridging(g), "bridging") == pytest.approx([1.5 / 3 / 6, 3 / 2 / 6, 1.5 / 6])

@@ -238,7 +238,7 @@ def pack_pieces(found: DataFrame, capacity: int = CAPACITY, small: int = SMALL,
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     first = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("first"))
     inside = F.row_number().over(Window.partitionBy("part", "length").orderBy("doc_id", "piece"))
-    ranked = dealt.withColumn("rank", inside).join(first, ["part", "length"]).withColumn("rank", F.col("first") + F.col("rank") - 1)
+    ranked = dealt.withColumn("rank", inside).join(first.hint("merge"), ["part", "length"]).withColumn("rank", F.col("first") + F.col("rank") - 1)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -216,7 +216,7 @@ def oracle_sql() -> dict[str, str]:
         "cohesion": f"{forest_n} SELECT round(sum(1.0::DOUBLE / d) FILTER (WHERE s < v) / (any_value(n) * (any_value(n) - 1)), 6) + 0.0 AS cohesion FROM sp, n",
         "cohesion_without_edge": f"{_masked(_PLACES, 4)} SELECT e0 AS src, e1 AS dst, round(c, 6) + 0.0 AS cohesion FROM ce",
         "bridging": _bridging(_PLACES, 4),
-        "bridging_ring": _bridging(_RING, 12),
+        "bridging_ring": _bridging(_RING, 20),
         "kpp_fit_fixed_set": f"{forest_n}, {_THREE}, near AS (SELECT v, min(d) AS d FROM sp WHERE s IN (SELECT id FROM three) AND v NOT IN (SELECT id FROM three) GROUP BY 1) SELECT 3::BIGINT AS n_members, round(sum(1.0::DOUBLE / d) / any_value(n), 6) + 0.0 AS fit FROM near, n",
         "kpp_single_fits": f"{forest_n}, {one} SELECT id, round(fit, 6) + 0.0 AS fit FROM one",
         "kpp_best_single": f"{forest_n}, {one} SELECT id, round(fit, 6) + 0.0 AS fit FROM one ORDER BY 2 DESC, 1 LIMIT 1",

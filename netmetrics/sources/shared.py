@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the cluster's shared checkpoint folder; a temporary one only in local mode where none is set."""
+    """A new path below the cluster's shared checkpoint folder; a temporary one only in local mode where none is set.
+
+    Its folder is deleted when the application ends, since results are read from it until then.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -19,7 +22,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/netmetrics"
-    return f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}-{name}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return f"{folder.toString()}/{name}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -53,7 +53,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a temporary one only in local mode where none is set."""
+    """A new folder below the cluster's shared checkpoint folder; a temporary one only in local mode where none is set.
+
+    It is deleted when the application ends, since results are read from it until then.
+    """
     import tempfile
     import uuid
 
@@ -65,7 +68,11 @@ def shared_dir(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/netmetrics"
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return folder.toString()
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:

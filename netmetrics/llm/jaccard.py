@@ -263,14 +263,14 @@ def _fragment(parts: list[tuple], short: int) -> Iterator[pa.RecordBatch]:
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first hash of each document's set, and of each of BITS bits whether an odd number of its shingles falls on it."""
+    """The first hash and the size of each document's set, and of each of BITS bits whether an odd number of its shingles falls on it."""
     for b in c.blocks(batches):
         g, begin = shingles(*c.utf8(b.column("text")))
         docs = len(begin) - 1
         odd = np.zeros(docs * BITS, np.uint8)
         np.bitwise_xor.at(odd, np.repeat(np.arange(docs), np.diff(begin)) * BITS + (c.mixed(g ^ c.U64(0x5EED)) % c.U64(BITS)).astype(np.int64), 1)
         rows = np.packbits(odd.reshape(docs, BITS), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(set_hashes(g, begin)[0]), pa.array([r.tobytes() for r in rows], pa.binary())], ["a", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(set_hashes(g, begin)[0]), pa.array(np.diff(begin).astype(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary())], ["a", "na", "bits"])
 
 
 def _across(batches: Iterator[pa.RecordBatch], most: int = 0, turn: int = 0) -> Iterator[pa.RecordBatch]:
@@ -392,8 +392,12 @@ def similar_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     near = c.written(components(links, folder, "near"), folder, "near")
     if not found.where("kind = 1").isEmpty():
         some = found.where("kind = 2").select("a").join(rep, "a").select(F.col("rep").alias("k"))
-        bits = texts.join(some.distinct(), "k", "left_semi").mapInArrow(_bits, "a long, bits binary").dropDuplicates(["a"])
-        entries = found.where("kind = 1").select("a", "na", "x", "key").join(rep, "a").join(c.written(bits, folder, "bits"), "a")
+        bits = texts.join(some.distinct(), "k", "left_semi").mapInArrow(_bits, "a long, na long, bits binary").dropDuplicates(["a"])
+        # a long document has as many entries as its prefix is long: they meet its bitmap in slices of about SPLIT
+        slices = F.expr(f"1 + cast((na - ceil({PERCENT} * na / 100.0D)) / {SPLIT} as int)")
+        of = bits.join(rep, "a").select("a", "rep", "bits", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+        entries = found.where("kind = 1").select("a", "na", "x", "key", F.pmod(F.xxhash64("key"), slices).cast("int").alias("slice"))
+        entries = entries.join(c.written(of, folder, "bits"), ["a", "slice"])
         entries = c.written(entries.select(F.col("rep").alias("a"), "na", "x", "key", "bits"), folder, "entries")
         # a few partners of each class that is still apart, turn by turn, so that what belongs to a large component joins it;
         # then all pairs of classes whose components still differ

@@ -26,7 +26,7 @@ from netmetrics.llm.sampling import bounded, held_out, piece
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW, STRIDE, LEVEL, ORDINARY_BYTES = 32, 20, 6, 8192
 #: Bytes of weighted words in the first toxic dictionary that is tried; each further one has twice as many, the last all.
-FIRST_BYTES = 256
+FIRST_BYTES = 16
 #: The classifier is fitted on at most about so many labelled rows of each class, and so many characters of each.
 TRAIN_ROWS, TRAIN_CHARS = 2500, 20_000
 RESULT = "doc_id long, held_out boolean, score double, predicted int, saved_most double"

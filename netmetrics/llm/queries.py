@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from netmetrics.llm import common as c
-from netmetrics.llm import decontamination, jaccard, langid, line_dedup, packing, quality, secrets, sql, substring_dedup, tokens, toxicity
+from netmetrics.llm import decontamination, fim, jaccard, langid, line_dedup, packing, quality, secrets, sql, substring_dedup, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_substring_dedup, op4_line_dedup, op5_language_id, op6_quality_rules, op7_best_fit_packing, op8_secret_scan, op9_toxicity, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_substring_dedup, op4_line_dedup, op5_language_id, op6_quality_rules, op7_best_fit_packing, op8_secret_scan, op9_toxicity, op10_jaccard_join, op11_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -69,4 +73,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": sql.quality(),
         "op8_secret_scan": sql.secret_scan(),
         "op10_jaccard_join": sql.jaccard_join(),
+        "op11_fill_in_middle": sql.fill_in_middle(),
     }

@@ -105,3 +105,14 @@ link AS (SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.do
 way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, way.b FROM reach JOIN way ON way.a = reach.r)
 SELECT doc_id, coalesce(any_value(size.n), 0)::BIGINT AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN size USING (doc_id) GROUP BY doc_id"""
+
+
+def fill_in_middle() -> str:
+    unit = r"'[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'"
+    h = ", ".join(f"('0x' || h[{8 * k + 1}:{8 * k + 8}])::BIGINT AS h{k + 1}" for k in range(4))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {unit}) AS u, sha256('42:' || doc_id) AS h FROM documents),
+x AS (SELECT doc_id, text, u, len(u)::BIGINT AS n, {h} FROM d),
+f AS (SELECT *, CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM x),
+p AS (SELECT *, array_to_string(u[1:a], '') AS head, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS tail FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(head) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || middle ELSE '<S>' || tail || '<P>' || head || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""

@@ -1,9 +1,9 @@
 """Fill-in-middle from a distinct-text index.
 
 Identical texts are grouped by their content's SHA-256, and a group whose members differ in length or in a second hash is an
-error. Each distinct text is cut into units once; the units' ends are an Elias-Fano list. Documents, as rows of numbers, meet
-the index row of their text, which brings the text along: a text crosses a shuffle once for each task that holds it and not
-once for each copy. A group of more than ``hot_bound`` copies is met by several copies of its index row.
+error. An index row is a distinct text with its documents; its units' ends are found once, as an Elias-Fano list, and each
+document selects its seeded cut from it. A text crosses the shuffle once for each task that holds it, not once for each copy;
+one of more copies than ``hot_bound`` is dealt out as several index rows.
 """
 
 from __future__ import annotations
@@ -89,25 +89,40 @@ def _ends(raw: pa.Array, n: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([[select(x, m, k - 1) if k else 0 for k in (i, j)] for x, m, i, j in rows], pa.list_(pa.int64()))
 
 
-def _key(text: Column) -> Column:
-    return F.unhex(F.sha2(text, 256))
+def _groups(docs: DataFrame, *more: str) -> DataFrame:
+    """(key, text, copies, ids): one row for each distinct text (and values of ``more``), its content verified by length and a
+    second hash, with the doc_ids that hold it.
+    """
+    t = docs.withColumn("check", F.xxhash64("text", F.octet_length("text")))
+    ids = F.collect_list(F.struct("doc_id"))  # nulls stay; at most a few times the rows of CHUNK or HOT_SHARE
+    g = t.groupBy("key", *more).agg(F.first("text").alias("text"), F.min("check").alias("lo"), F.max("check").alias("hi"), ids.alias("ids"))
+    same = F.when(F.col("lo") == F.col("hi"), F.col("text")).otherwise(F.raise_error(F.lit("two texts of one SHA-256")))
+    return g.select("key", same.alias("text"), "ids").withColumn("units", F.arrow_udf(_indexed, INDEX)("text"))
 
 
-def _groups(docs: DataFrame) -> DataFrame:
-    """(key, text, copies): one row for each distinct text, its content verified by length and a second hash."""
-    t = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", _key(F.col("text"))).withColumn("check", F.xxhash64("text", F.octet_length("text")))
-    g = t.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-    same = F.when(F.col("lo") == F.col("hi"), F.col("text")).otherwise(F.raise_error(F.lit("two texts of one SHA-256")))
-    return g.select("key", same.alias("text"), "copies")
+def _own(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key); a null text is empty."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return own.withColumn("key", F.unhex(F.sha2("text", 256)))
 
 
-def _with_units(groups: DataFrame) -> DataFrame:
-    return groups.withColumn("units", F.arrow_udf(_indexed, INDEX)("text"))
+def _dealt(docs: DataFrame) -> DataFrame:
+    """_groups of documents, a text of many copies once for each so many of them."""
+    own = _own(docs)
+    counts = c.written(own.groupBy("key").agg(F.count("*").alias("copies")), c.shared_dir(docs.sparkSession), "copies")
+    bound = hot_bound(counts.agg(F.sum("copies")).first()[0] or 0)
+    # at most HOT_SHARE keys, since each has more than that share of all rows
+    hot = F.broadcast(counts.where(F.col("copies") > bound).select("key", F.ceil(F.col("copies") / bound).alias("salts")))
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(0).cast("long"))
+    return _groups(own.join(hot, "key", "left").withColumn("salt", salt).drop("salts"), "salt")
 
 
 def text_index(docs: DataFrame) -> DataFrame:
-    """(key, copies, n, ends): of each distinct text its SHA-256, documents, units, and their ends as an Elias-Fano list."""
-    return _with_units(_groups(docs)).select("key", "copies", "units.n", "units.ends")
+    """(key, ids, n, ends): of each distinct text its SHA-256, documents, units, and their ends as an Elias-Fano list.
+
+    A text of more copies than ``hot_bound`` has a row for each share of its documents.
+    """
+    return _dealt(docs).select("key", F.col("ids.doc_id").alias("ids"), "units.n", "units.ends")
 
 
 def drawn(doc_id: Column, seed: int = SEED) -> list[Column]:
@@ -130,17 +145,7 @@ def fill_in_middle(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm_shar
     empty string. Rows that repeat a doc_id each give a row, with the same draw. Columns besides doc_id and text are not
     read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    ids = c.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key")), c.shared_dir(spark), "ids")
-    bound = hot_bound(ids.count())
-    hot = ids.groupBy("key").agg(F.count("*").alias("copies")).where(F.col("copies") > bound)
-    # at most HOT_SHARE keys, since each has more than that share of all rows
-    ids = ids.join(F.broadcast(hot.select("key", F.ceil(F.col("copies") / bound).alias("salts"))), "key", "left")
-    groups = _groups(docs)
-    cold = ids.where("salts is null").drop("salts").join(_with_units(groups.where(F.col("copies") <= bound)), "key")
-    many = _with_units(groups.where(F.col("copies") > bound)).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("copies") / bound) - 1)))
-    warm = ids.where("salts is not null").select("key", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("salt")).join(many, ["key", "salt"]).drop("salt")
-    both = cold.unionByName(warm).select("doc_id", "text", "units.n", "units.ends")
+    both = _dealt(docs).select(F.explode("ids.doc_id").alias("doc_id"), "text", "units.n", "units.ends")
     h1, h2, h3, h4 = drawn(F.col("doc_id"), seed)
     text = F.col("text")
     plain = (text == "") | text.rlike(f"{PREFIX}|{SUFFIX}|{MIDDLE}") | (h3 % 100 >= rate)

@@ -48,7 +48,9 @@ def test_fim(spark, monkeypatch, chunk):
     assert sorted(map(tuple, fim.fim_report(df).collect()), key=key) == sorted((plainly(*r) for r in rows), key=key)
     assert fim.fim_report(df.limit(0)).count() == 0
     index = fim.text_index(df).collect()
-    assert len(index) == len({t or "" for _, t in rows}) and sum(r["copies"] for r in index) == len(rows)
+    texts = {t or "" for _, t in rows}
+    assert len({bytes(r["key"]) for r in index}) == len(texts) and sum(len(r["ids"]) for r in index) == len(rows)
+    assert (len(index) == len(texts)) == (chunk == 1000) and max(len(r["ids"]) for r in index) <= (120 if chunk == 1000 else 25)
 
 
 def test_lists():

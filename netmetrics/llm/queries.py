@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from netmetrics.llm import common as c
-from netmetrics.llm import decontamination, fim, jaccard, langid, line_dedup, packing, quality, secrets, spelling, sql, substring_dedup, tokens, toxicity
+from netmetrics.llm import decontamination, extraction, fim, jaccard, langid, line_dedup, packing, quality, secrets, spelling, sql, substring_dedup, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +65,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_substring_dedup, op4_line_dedup, op5_language_id, op6_quality_rules, op7_best_fit_packing, op8_secret_scan, op9_toxicity, op10_jaccard_join, op11_fill_in_middle, op12_spelling_variants)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_substring_dedup, op4_line_dedup, op5_language_id, op6_quality_rules, op7_best_fit_packing, op8_secret_scan, op9_toxicity, op10_jaccard_join, op11_fill_in_middle, op12_spelling_variants, op13_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("netmetrics.llm")
@@ -60,18 +61,31 @@ def documents():
     return [*rows, (1, rows[1][1]), (None, rows[2][1]), (None, None), (7, ""), (8, "·×÷ ×÷×÷×÷ ×÷×÷×÷ ×÷×÷×÷"), (9, "the " * 900 + "spelling " * 900)]
 
 
-@pytest.mark.parametrize("split,at_once", [(1000, 20_000), (3, 1), (40, 500)])
-def test_variants(spark, monkeypatch, split, at_once):
+@pytest.mark.parametrize("split", [1000, 3, 40])
+def test_variants(spark, monkeypatch, split):
     monkeypatch.setattr(spelling, "SPLIT", split)
     rows = documents()
     df = spark.createDataFrame([(k, t, "c", 1) for k, t in rows], "doc_id long, text string, word string, n int").repartition(3)
-    monkeypatch.setattr(spelling, "AT_ONCE", at_once)
     want = plainly(rows)
     got = [tuple(r) for r in spelling.spelling_variants(df).select("word", "form", "root", "n", "n_near", "form_n").collect()]
     assert len(got) == len(want) and set(got) == want
     assert any(w[4] > 3 for w in want) and any(w[1] and w[1] != w[2] for w in want)
 
 
+@pytest.mark.parametrize("at_once", [1, 30, 20_000])
+def test_partitions_over_the_bounds_of_batches(monkeypatch, at_once):
+    monkeypatch.setattr(spelling, "AT_ONCE", at_once)
+    words = sorted({"".join(random.Random(k).choice("ab") for _ in range(5 + k % 2)) for k in range(90)})
+    rows = sorted((0, 5, w[:2], w[2:], k + 1) for k, w in enumerate(words))
+    t = pa.table({k: [r[i] for r in rows] for i, k in enumerate(("way", "m", "p", "s", "n"))})
+    got = {}
+    for b in spelling._walked(t.to_batches(max_chunksize=7)):
+        for r in b.to_pylist():
+            got[r["word"]] = got.get(r["word"], 0) + r["n_near"]
+    want = {w: sum(one_apart(w, v) and w[:2] == v[:2] and min(len(w), len(v)) == 5 for v in words) for w in words}
+    assert got == {w: k for w, k in want.items() if k}
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert spelling.spelling_variants(df).collect() == [] and spelling.spelling_variants(df).columns == ["word", "form", "root", "n", "n_near", "form_n"]

@@ -26,6 +26,7 @@ class Graph:
         self.edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
         self.simplify = simplify
         self.arrays = None  # what operators.paths made of a small graph
+        self.bucketed: DataFrame | None = None  # the adjacency that operators.levels joins with
         self._oriented: DataFrame | None = None
 
     @classmethod

@@ -1,7 +1,7 @@
 """Shortest paths: distances and path counts from many sources at once.
 
 A graph whose adjacency fits LIMIT is sent to the tasks as arrays, and every task searches from its share of the sources; a
-larger one is searched level by level with joins, all sources together, each level a stored table.
+larger one is searched level by level with joins, a batch of sources at a time (``levels``).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netmetrics.graph import Graph, require_graph
-from netmetrics.sources.shared import stored
+from netmetrics.operators import levels
 
 #: Directed edges of a graph that is sent whole to every task: 24 bytes each.
 LIMIT = 1_000_000
@@ -113,21 +113,31 @@ def shortest_paths(g: Graph, sources: DataFrame | None = None, limit: int = LIMI
     a = arrays(g, limit)
     if a is not None:
         return over_sources(g, a, sources, _rows, PATHS)
-    adj = stored(g.adjacency(), "adj")
-    ids = (g.vertices if sources is None else sources.join(g.vertices, "id", "left_semi")).select(F.col("id").cast("long").alias("s")).distinct()
-    front = stored(ids.select("s", F.col("s").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")), "0")
-    seen, level = [front], 0
-    while not front.isEmpty():
-        level += 1
-        step = front.join(adj, front["v"] == adj["src"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum(F.col("sigma") * F.col("mult")).alias("sigma"))
-        for old in seen[-2:]:  # a neighbour of level L - 1 lies on level L - 2, L - 1 or L
-            step = step.join(old.select("s", "v"), ["s", "v"], "left_anti")
-        front = stored(step.select("s", "v", F.lit(level).alias("d"), "sigma"), str(level))
-        seen.append(front)
-    out = seen[0]
-    for x in seen[1:]:
-        out = out.unionByName(x)
-    return out
+    return levels.path_counts(g, sources)
+
+
+def distances(g: Graph, sources: DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
+    """(s, v, d): hop distances alone, which by joins need a bit of state for each pair; unreachable pairs are absent."""
+    require_graph(g)
+    return shortest_paths(g, sources, limit).drop("sigma") if arrays(g, limit) is not None else levels.distances(g, sources)
+
+
+def _counted(x: Arrays, places: Iterator[int]) -> Iterator[pa.RecordBatch]:
+    for s in places:
+        n = np.bincount(x.levels(s)[0] + 1)[1:]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), x.ids[s])), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], ["v", "d", "n"])
+
+
+def distance_histograms(g: Graph, limit: int = LIMIT) -> DataFrame:
+    """(v, d, n): each vertex has n vertices at distance d, itself at 0 included. No pairs are listed."""
+    a = arrays(require_graph(g), limit)
+    return levels.distance_histograms(g) if a is None else over_sources(g, a, None, _counted, "v long, d int, n long")
+
+
+def cohesion_of(g: Graph, limit: int = LIMIT) -> DataFrame:
+    """(cohesion) as ``cohesion``, from the histograms."""
+    n = g.n()
+    return distance_histograms(g, limit).where("d > 0").agg((F.coalesce(F.sum(F.col("n") / F.col("d")), F.lit(0.0)) / 2 / max(1, n * (n - 1))).alias("cohesion"))
 
 
 def cohesion(paths: DataFrame, n: int) -> DataFrame:

@@ -33,4 +33,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: the end of its lineage."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """df as a table in the shared folder, dealt to as many buckets as shuffle partitions by ``key`` and sorted by it.
+
+    Joins and sums on the key alone need no exchange of it. The table leaves the catalog at once; only its files stay.
+    """
+    spark = df.sparkSession
+    table = f"netmetrics_{uuid.uuid4().hex}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", shared_path(spark, name)).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # analysed while the table is known
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        for f in {x.rsplit("/", 1)[0] for x in t.inputFiles()}:
+            p = spark._jvm.org.apache.hadoop.fs.Path(f)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -27,6 +27,7 @@ class Graph:
         self.simplify = simplify
         self.arrays = None  # what operators.paths made of a small graph
         self.bucketed: DataFrame | None = None  # the adjacency that operators.levels joins with
+        self._canonical: DataFrame | None = None
         self._oriented: DataFrame | None = None
 
     @classmethod
@@ -45,6 +46,8 @@ class Graph:
 
     def canonical(self) -> DataFrame:
         """(src, dst, mult) with src < dst, and src = dst for loops where they are kept."""
+        if self._canonical is not None:
+            return self._canonical
         pair = self.edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
         if self.simplify:
             return pair.where("src < dst").distinct().withColumn("mult", F.lit(1).cast("long"))
@@ -66,6 +69,7 @@ class Graph:
         A table in the shared folder, made once for each graph: neighbourhood measures read it instead of the source.
         """
         if self._oriented is None:
+            self._canonical = stored(self.canonical(), "canonical")  # degrees and all that follows start from it
             d = self.degree()
             e = self.canonical().where("src < dst").join(d.select(F.col("id").alias("src"), F.col("degree").alias("ds")), "src").join(d.select(F.col("id").alias("dst"), F.col("degree").alias("dd")), "dst")
             low, high = F.struct(F.col("ds").alias("d"), F.col("src").alias("i")), F.struct(F.col("dd").alias("d"), F.col("dst").alias("i"))

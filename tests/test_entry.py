@@ -5,6 +5,8 @@ import os
 import pytest
 
 SF = "/root/testdata/sf0.001"
+#: Some minutes of small jobs; tests/test_joins.py holds what they run against brute force.
+LONG = {"bridging_ring_by_joins", "bridging_forest_by_joins", "keyplayer_greedy_by_joins", "keyplayer_stochastic_by_joins"}
 
 
 def test_entry_and_oracles(spark):
@@ -21,6 +23,8 @@ def test_entry_and_oracles(spark):
     assert e.entry(spark).count() == 15
     assert set(oracle_sql()) <= set(queries()) <= set(e.queries())
     for name, sql in oracle_sql().items():
+        if name in LONG:
+            continue
         df = queries()[name](spark, SF)
         cols = sorted(df.columns)
         got = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)

@@ -63,18 +63,21 @@ class Arrays:
 def arrays(g: Graph, limit: int = LIMIT) -> Arrays | None:
     """The graph as arrays, or None if it has more than ``limit`` edges (counted both ways) or vertices.
 
-    One job of at most 1.5 x limit + 2 rows; a graph remembers its arrays.
+    One job of at most 1.5 x limit + 2 rows; a graph remembers its arrays, and the names in the order of their ids.
     """
     if g.arrays is None:
-        half = g.canonical().where("src < dst").limit(limit // 2 + 1)
-        ids = g.vertices.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0).cast("long").alias("mult")).limit(limit + 1)
-        got = half.unionByName(ids).toArrow()
+        most = limit // 2 + limit + 2
+        half = g.canonical().where("src < dst").withColumn("name", F.lit(None).cast("string"))
+        ids = g.vertices.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0).cast("long").alias("mult"), "name")
+        got = half.unionByName(ids).limit(most).toArrow()
         edge = got["mult"].to_numpy() > 0
-        if 2 * edge.sum() > limit or (~edge).sum() > limit:
+        if got.num_rows == most or 2 * edge.sum() > limit or (~edge).sum() > limit:
             return None
         src, mult = got["src"].to_numpy(), got["mult"].to_numpy()[edge]
         a, b = src[edge], got["dst"].drop_null().to_numpy()
-        g.arrays = Arrays(np.unique(src[~edge]), np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([mult, mult]))
+        own, at = np.unique(src[~edge], return_index=True)
+        g.names = got["name"].filter(pa.array(~edge)).take(pa.array(at))
+        g.arrays = Arrays(own, np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([mult, mult]))
     return g.arrays if max(len(g.arrays.to), len(g.arrays.ids)) <= limit else None
 
 

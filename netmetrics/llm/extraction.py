@@ -72,7 +72,7 @@ class Forest:
         for k in range(n):
             tag, up = t.tag[k], t.parent[k]
             density = 4 * linked[k] // max(1, chars[k])
-            size = chars[k].bit_length()
+            size = min(11, chars[k].bit_length())
             keys = [("tag", tag), ("size", tag == "#text", size), ("links", density, size // 3), ("runs", min(8, runs[k]), density)]
             if tag == "#text":
                 text = t.text[k]
@@ -129,7 +129,7 @@ def marginals(f: Forest, m: Model) -> tuple[np.ndarray, np.ndarray]:
     return 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -500, 500))), both
 
 
-def train(trees: list[p.Tree], steps: int = 100, rate: float = 0.1, decay: float = 1e-4) -> Model:
+def train(trees: list[p.Tree], steps: int = 200, rate: float = 0.25, decay: float = 1e-4) -> Model:
     """Weights by ascent (Adam) on the likelihood of the labels of all nodes together."""
     m = Model(np.zeros(BUCKETS), np.zeros((TAGS, 2, 2)))
     if not trees:
@@ -171,8 +171,9 @@ def labelled(pages: DataFrame, rows: int = TRAIN_PAGES, styles: int = STYLES, se
     parts = parts or [made[: k + 1] for k in range(4)] * 10  # a table without any landmark
     pool = [x for part in parts for _, x in part[:20]]
     pool = [s.strip() for x in pool for s in x.replace("! ", ". ").split(". ") if s.strip()][:20_000]
-    more = [p.parsed(p.restyled(rng, part[: int(rng.integers(1, 25))], pool)) for part in parts for _ in range(styles)]
-    return trees + more
+    most = lambda: int(rng.integers(1, 120 if rng.random() < 0.1 else 25))
+    more = [p.parsed(p.restyled(rng, part[: most()], pool)) for part in parts for _ in range(styles)]
+    return 2 * trees + more  # pages as they are count twice
 
 
 def fitted(pages: DataFrame, rows: int = TRAIN_PAGES) -> Model:

@@ -175,6 +175,9 @@ def restyled(rng: np.random.Generator, content: list[tuple[str, str]], pool: lis
     def attribute(names: list[str]) -> str:
         return f' {pick(["class", "class", "id"])}="{pick(names)}{pick(["", "", " clearfix", " box-2"])}"'
 
+    def heading() -> str:
+        return "<{0}>{1}</{0}>".format(pick(["h2", "h3", "h4"]), esc(short()))
+
     def unit(kind: str) -> str:
         tags, names = KINDS[kind]
         tag = pick(tags)
@@ -189,25 +192,54 @@ def restyled(rng: np.random.Generator, content: list[tuple[str, str]], pool: lis
         elif kind == "footer":
             inner = pick([f"&copy; {esc(short())}. {esc(pick(pool))}", para() + f"<ul>{links}</ul>", f"<p>&copy; 2024 {esc(short())}</p>"])
         elif kind == "sidebar":
-            inner = f"<h3>{esc(short())}</h3>" + pick([f"<ul>{links}</ul>", para(), para() + para()])
+            inner = heading() + pick([f"<ul>{links}</ul>", para(), para() + para()])
         elif kind == "form":
             inner = f'<label>{esc(short())}</label><input name="q"><p>{esc(short())}</p><button>{esc(short())}</button>'
         elif kind == "comments":
             item = pick(["div", "li", "p"])
-            inner = f"<h3>{esc(short())}</h3>" + "".join(f"<{item}>{pick(['', f'<b>{esc(short())}</b> '])}{esc(pick(pool))}</{item}>" for _ in range(int(rng.integers(1, 6))))
+            inner = heading() + "".join(f"<{item}>{pick(['', f'<b>{esc(short())}</b> '])}{esc(pick(pool))}</{item}>" for _ in range(int(rng.integers(1, 6))))
         else:
             inner = pick([esc(pick(pool)), para(), para() + f'<a href="/x">{esc(short())}</a>'])
         return f'<{tag}{style} data-main="0">{inner}</{tag}>'
 
-    tag, named = pick([("article", 0), ("article", 0), ("main", 0), ("div", 1), ("div", 1), ("section", 1)])
-    paragraphs = [f"<{'p' if x[0] not in BLOCKS or x[0] in ('article', 'body', 'html') else x[0]}>{esc(x[1])}" + pick(["</p>", "", "<br>"]) * (x[0] == "p") + f"</{x[0]}>" * (x[0] not in ("p", "article", "body", "html")) for x in content]
+    tag, named = pick([("article", 0), ("article", 0), ("main", 0), ("div", 1), ("div", 1), ("section", 1), ("div", 0), ("", 0)])
+    mixed = rng.random() < 0.5
+
+    def block(kind: str, text: str) -> str:
+        """A block of the content: a heading as it is, a paragraph as one or, on mixed pages, as another element."""
+        t, words = esc(text), text.split()
+        if len(words) > 6 and rng.random() < 0.15:
+            k = int(rng.integers(1, len(words) - 3))
+            t = f'{esc(" ".join(words[:k]))} <a href="/x">{esc(" ".join(words[k : k + 2]))}</a> {esc(" ".join(words[k + 2 :]))}'
+        if kind not in ("p", "article", "main", "body", "html"):
+            return f"<{kind}>{t}</{kind}>"
+        style = rng.random() if mixed else 0.0
+        if style < 0.55:
+            return f"<p>{t}" + pick(["</p>", "", "<br>"])
+        if style < 0.65:
+            return f"<div>{t}</div>"
+        if style < 0.8:
+            items = [*(x for x in text.split(". ") if x), *([short()] if rng.random() < 0.3 else [])]
+            return "<{0}>{1}</{0}>".format(pick(["ul", "ol"]), "".join(f"<li>{esc(x)}</li>" for x in items))
+        if style < 0.88:
+            return f"<blockquote>{t}</blockquote>"
+        if style < 0.93:
+            return "<table>" + "".join(f"<tr><td>{esc(short())}</td><td>{esc(pick(pool)) if k else t}</td></tr>" for k in range(int(rng.integers(1, 3)))) + "</table>"
+        if style < 0.97:
+            return f"<{pick(['h2', 'h3'])}>{esc(short())}"
+        return pick([f"<pre>{t}</pre>", f"<figure><figcaption>{t}</figcaption></figure>"])
+
+    paragraphs = [block(*x) for x in content]
+    paragraphs = [x + f"</{x[1:3]}>" if x.startswith(("<h2>", "<h3>")) and not x.endswith(">") else x for x in paragraphs]
     if paragraphs and paragraphs[0].startswith("<h") and rng.random() < 0.3:
         paragraphs[0] = f"<header>{paragraphs[0]}</header>"
+    if not tag:  # straight in the page: each block says of itself that it is content
+        paragraphs = [re.sub(r"^<(\w+)", r'<\1 data-main="1"', x) for x in paragraphs]
     inside = [unit(k) for k in ("advert", "share", "form", "notice", "comments", "sidebar", "menu") if rng.random() < 0.12]
     for x in inside:
         paragraphs.insert(int(rng.integers(0, len(paragraphs) + 1)), x)
-    body = f'<{tag}{attribute(CONTENT_NAMES) if named or rng.random() < 0.3 else ""} data-main="1">{"".join(paragraphs)}</{tag}>'
-    if tag != "main" and rng.random() < 0.3:
+    body = "".join(paragraphs) if not tag else f'<{tag}{attribute(CONTENT_NAMES) if named or rng.random() < 0.3 else ""} data-main="1">{"".join(paragraphs)}</{tag}>'
+    if tag not in ("main", "") and rng.random() < 0.3:
         body = f'<main data-main="1">{body}</main>'
     before = [unit(k) for k in ("header", "menu", "notice", "advert", "form", "sidebar") if rng.random() < 0.45]
     after = [unit(k) for k in ("sidebar", "comments", "share", "advert", "footer", "notice", "menu") if rng.random() < 0.45]

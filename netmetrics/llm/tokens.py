@@ -1,9 +1,10 @@
 """Token counts: pieces counted once per distinct pre-token, joined to per-document pre-token frequencies.
 
-Documents are cut into blocks. A block keeps the frequencies of its documents as a sparse matrix (documents x the block's
-distinct pre-tokens), and only its list of distinct pre-tokens takes part in the join, so a pre-token that every document
-holds is one row a block. Token ids are never kept: the tokenizer is asked for the number of pieces of each distinct
-pre-token of the whole corpus, once.
+A task's documents share a vocabulary, begun anew once it has VOCABULARY pre-tokens; blocks of them keep their frequencies
+as a sparse matrix (documents x the vocabulary). Only vocabularies take part in the join, each cut into a row for every
+fragment of the hash space, so that a pre-token of every document counts once a vocabulary and rows grow with tasks, not
+with blocks. Token ids are never kept: the tokenizer is asked for the number of pieces of each distinct pre-token of the
+whole corpus, once.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from netmetrics.llm import common as c
 
 #: Fixed by byte-level BPE: how the tokenizers library cuts a text before it looks for pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Text of a block; its distinct pre-tokens are one row of the join each.
-BLOCK = 8 << 20
+#: Text of a block, and pre-tokens from which on a vocabulary takes no further block.
+BLOCK, VOCABULARY = 8 << 20, 200_000
 COUNT_LIMIT = 1024
 
 
@@ -122,12 +123,29 @@ def _numbers(raw: bytes) -> np.ndarray:
 
 
 def _blocks(path: str, fragments: int):
-    """For each block a row with its matrix, and a row for each fragment with the distinct pre-tokens it has there."""
+    """A row for each block with its matrix (fragment MATRIX); for each vocabulary a row with the order in which fragments hold
+    its numbers (fragment ORDER), and one for each fragment with the pre-tokens it has there."""
+
+    def rows(kind: list[tuple]) -> pa.RecordBatch:
+        types = (pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*kind, strict=True), types, strict=True)], ["vocabulary", "fragment", "words", "doc_ids", "n_bytes", "row_sizes", "matrix"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, common, pack = Splitter(path), uuid.uuid4().hex, zstandard.ZstdCompressor(level=1).compress
-        for k, b in enumerate(c.blocks(batches, limit=BLOCK)):
-            place = Places()
+        split, pack, none, nil = Splitter(path), zstandard.ZstdCompressor(level=1).compress, None, np.zeros(0, np.int64)
+        name, place = uuid.uuid4().hex, Places()
+
+        def ended() -> pa.RecordBatch:
+            words = list(place)
+            to = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words), np.uint64, len(words)) % np.uint64(fragments)
+            order = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[order], np.arange(fragments + 1))
+            out = [(name, ORDER, _planes(order, pack), none, none, none, none)]
+            for f in np.flatnonzero(np.diff(cut)).tolist():
+                own = [words[i] for i in order[cut[f] : cut[f + 1]]]
+                out.append((name, f, _framed([pack("".join(own).encode("utf-8", "replace")), _planes(np.array([*map(len, own)]), pack)]), none, none, none, none))
+            return rows(out)
+
+        for b in c.blocks(batches, limit=BLOCK):
             number = place.__getitem__
             cols, counts, ends, sizes = [], [], [], []
             for text in b.column("text").to_pylist():
@@ -138,19 +156,13 @@ def _blocks(path: str, fragments: int):
                 cols.append(np.diff(own, prepend=0))
                 counts.append(n)
                 ends.append(len(own))
-            words = list(place)
-            to = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words), np.uint64, len(words)) % np.uint64(fragments)
-            order = np.argsort(to, kind="stable")
-            cut = np.searchsorted(to[order], np.arange(fragments + 1))
-            block, none, nil = f"{common}-{k}", None, np.zeros(0, np.int64)
-            rows = []
-            for f in range(fragments):
-                if cut[f] < cut[f + 1]:
-                    own = [words[i] for i in order[cut[f] : cut[f + 1]]]
-                    rows.append((block, f, _framed([pack("".join(own).encode("utf-8", "replace")), _planes(np.array([*map(len, own)]), pack)]), none, none, none, none))
-            matrix = pack(_framed([_planes(x, pack) for x in (order, np.concatenate([*cols, nil]), np.concatenate([*counts, nil]))]))
-            rows.append((block, -1, none, b.column("doc_id").to_pylist(), sizes, ends, matrix))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()), strict=True)], ["block", "fragment", "words", "doc_ids", "n_bytes", "row_sizes", "matrix"])
+            matrix = pack(_framed([_planes(x, pack) for x in (np.concatenate([*cols, nil]), np.concatenate([*counts, nil]))]))
+            yield rows([(name, MATRIX, none, b.column("doc_id").to_pylist(), sizes, ends, matrix)])
+            if len(place) >= VOCABULARY:
+                yield ended()
+                name, place = uuid.uuid4().hex, Places()
+        if place:
+            yield ended()
 
     return scan
 
@@ -168,11 +180,12 @@ def _unframed(raw: bytes) -> list[bytes]:
     return out
 
 
-BLOCK_SCHEMA = "block string, fragment int, words binary, doc_ids array<long>, n_bytes array<long>, row_sizes array<long>, matrix binary"
+MATRIX, ORDER = -1, -2
+BLOCK_SCHEMA = "vocabulary string, fragment int, words binary, doc_ids array<long>, n_bytes array<long>, row_sizes array<long>, matrix binary"
 
 
 def _pieces(path: str):
-    """Fragment by fragment (rows come sorted): the pieces of each distinct pre-token, once, for all blocks that have it."""
+    """Fragment by fragment (rows come sorted): the pieces of each distinct pre-token, once, for all vocabularies that have it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, pack, unpack = Pieces(path), zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor()
@@ -190,7 +203,7 @@ def _pieces(path: str):
                     if w not in known:
                         known[w] = len(pieces(w))
                 out.append(_planes(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), pack))
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("fragment"), pa.array(out, pa.binary())], ["block", "fragment", "pieces"])
+            yield pa.RecordBatch.from_arrays([b.column("vocabulary"), b.column("fragment"), pa.array(out, pa.binary())], ["vocabulary", "fragment", "pieces"])
 
     return count
 
@@ -198,27 +211,33 @@ def _pieces(path: str):
 def token_counts(documents: DataFrame, path: str | None = None, limit: int = COUNT_LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of documents; null and empty texts have no bytes and tokens.
 
-    Repeated rows each give a row. The tokenizer's file must be at ``path`` on every machine.
+    Repeated rows, and rows without a doc_id, each give a row; a very long text is a block of its own, and its vocabulary as
+    long as it makes it; an empty table gives none. The tokenizer's file must be at ``path`` on every machine.
     """
     path, spark = path or default_path(), documents.sparkSession
     folder = c.shared_dir(spark)
     df = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
     fragments = c.partitions(spark)
     made = c.written(df.mapInArrow(_blocks(path, fragments), BLOCK_SCHEMA), folder, "blocks")
-    words = made.where("fragment >= 0").select("block", "fragment", "words")
-    pieces = words.repartition(fragments, "fragment").sortWithinPartitions("fragment").mapInArrow(_pieces(path), "block string, fragment int, pieces binary")
-    back = pieces.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("fragment", "pieces"))).alias("found"))
-    matrix = made.where("fragment = -1").drop("fragment", "words")
+    words = made.where("fragment >= 0").select("vocabulary", "fragment", "words")
+    pieces = words.repartition(fragments, "fragment").sortWithinPartitions("fragment").mapInArrow(_pieces(path), "vocabulary string, fragment int, pieces binary")
+    order = made.where(F.col("fragment") == ORDER).select("vocabulary", "fragment", F.col("words").alias("pieces"))
+    back = pieces.unionByName(order).groupBy("vocabulary").agg(F.array_sort(F.collect_list(F.struct("fragment", "pieces"))).alias("found"))
+    matrix = made.where(F.col("fragment") == MATRIX).drop("fragment", "words")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
+        last, n_pieces = None, np.zeros(0, np.int64)  # rows of a vocabulary follow one another
         for b in batches:
             for i in range(b.num_rows):
                 sizes = b.column("row_sizes")[i].values.to_numpy()
-                order, cols, counts = map(_numbers, _unframed(unpack.decompress(b.column("matrix")[i].as_py())))
-                found = b.column("found")[i].as_py() or []
-                n_pieces = np.zeros(len(order), np.int64)
-                n_pieces[order] = np.concatenate([np.zeros(0, np.int64), *(_numbers(x["pieces"]) for x in found)])
+                cols, counts = map(_numbers, _unframed(unpack.decompress(b.column("matrix")[i].as_py())))
+                if (name := b.column("vocabulary")[i].as_py()) != last:
+                    last, found = name, b.column("found")[i].as_py() or []
+                    own = [_numbers(x["pieces"]) for x in found]  # the order first
+                    n_pieces = np.zeros(len(own[0]) if own else 0, np.int64)
+                    if own:
+                        n_pieces[own[0]] = np.concatenate(own[1:])
                 ends = np.cumsum(sizes)
                 begin = ends - sizes
                 run = np.cumsum(cols)  # differences begin anew with each document
@@ -228,4 +247,4 @@ def token_counts(documents: DataFrame, path: str | None = None, limit: int = COU
                 n = sums[ends] - sums[begin]
                 yield pa.RecordBatch.from_arrays([b.column("doc_ids")[i].values, b.column("n_bytes")[i].values, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return matrix.join(back, "block", "left").mapInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return matrix.join(back, "vocabulary", "left").mapInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

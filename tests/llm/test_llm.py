@@ -96,9 +96,17 @@ def ids_of(text):
     return Tokenizer.from_file(tokens.default_path()).encode(text, add_special_tokens=False).ids
 
 
-def test_token_counts(rows, docs):
+def test_token_counts(rows, docs, monkeypatch):
     want = {d: (len((t or "").encode()), n := len(ids_of(t or "")), n > 1024) for d, t in rows.items()}
     assert by_id(tokens.token_counts(docs)) == want
+    monkeypatch.setattr(tokens, "BLOCK", 2000)
+    assert by_id(tokens.token_counts(docs)) == want  # several blocks of a vocabulary
+    monkeypatch.setattr(tokens, "VOCABULARY", 50)
+    assert by_id(tokens.token_counts(docs)) == want  # several vocabularies of a task
+    batches = docs.select("doc_id", "text").coalesce(1).toArrow().to_batches()
+    monkeypatch.setattr(tokens, "VOCABULARY", 200_000)
+    made = [r for b in tokens._blocks(tokens.default_path(), 16)(iter(batches)) for r in b.to_pylist()]
+    assert sum(r["fragment"] >= 0 for r in made) <= 16 and sum(r["fragment"] == tokens.MATRIX for r in made) > 1  # rows go by tasks, not by blocks
     s, p = tokens.Splitter(tokens.default_path()), tokens.Pieces(tokens.default_path())
     for t in ["a<|endoftext|>b \n\n x", "I'm  don't\t\t ", "á \U0001f600 ١٢ ²½ \x85\x1c", "  x y"]:
         assert [i for x in s(t) for i in p(x)] == ids_of(t)

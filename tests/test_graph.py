@@ -1,6 +1,7 @@
 """Graph operators against exact small graphs, brute force and invariants."""
 
 import itertools
+import random
 from collections import deque
 
 import pytest
@@ -253,3 +254,31 @@ def test_swaps_are_valued_as_sets(spark):
 def test_loops_and_copies_count_in_degrees(spark):
     g = graph(spark, 3, [(1, 1), (1, 2), (2, 3)], simplify=False)
     assert column(g.degree(), "degree") == [3, 2, 1] and column(bridging(g), "bridging") == pytest.approx([1.5 / 3 / 6, 3 / 2 / 6, 1.5 / 6])
+
+
+def test_meetings_are_counted_in_tiles(spark):
+    import collections
+
+    from netmetrics.functions import meetings
+    from netmetrics.graph import Graph
+
+    rng = random.Random(5)
+    rows = sorted({(rng.randint(-30, 30), rng.randint(1, 40)) for _ in range(300)} | {(99, u) for u in range(1, 60)} | {(100, 77)})
+    want = collections.Counter((u, w) for at, u in rows for bt, w in rows if at == bt and u < w)
+    groups, users = spark.createDataFrame(rows, "at long, u long"), spark.createDataFrame([(u, str(u)) for u in sorted({u for _, u in rows})], "id long, name string")
+    for blocks in (1, 2, 5):
+        assert {(r["src"], r["dst"]): r["mult"] for r in meetings.pairs(groups, blocks).collect()} == want
+    for simplify in (True, False):
+        g = Graph.of_meetings(groups, users, simplify)
+        plain = Graph(users, g.edges, simplify)
+        assert sorted(map(tuple, g.degree().collect())) == sorted(map(tuple, plain.degree().collect()))
+        assert sorted(map(tuple, g.adjacency().collect())) == sorted(map(tuple, plain.adjacency().collect()))
+        # members are dealt out, pairs are not: no exchange but of the members, and no join
+        plan = g.canonical()._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "FlatMapGroupsInArrow" in plan
+    # a piece smaller than one vertex's pairs, and the sorted and the counted form
+    import numpy as np
+
+    at, u = (np.array(x) for x in zip(*rows, strict=True))
+    for piece in (3, 50, 10**6):
+        assert {(int(x), int(y)): int(m) for part in meetings.tile_pairs((at, u), (at, u), True, piece) for x, y, m in zip(*part, strict=True)} == want

@@ -282,3 +282,14 @@ def test_meetings_are_counted_in_tiles(spark):
     at, u = (np.array(x) for x in zip(*rows, strict=True))
     for piece in (3, 50, 10**6):
         assert {(int(x), int(y)): int(m) for part in meetings.tile_pairs((at, u), (at, u), True, piece) for x, y, m in zip(*part, strict=True)} == want
+
+
+def test_names_of_a_csv_are_sent_to_its_edges(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("a,b\nx,y\ny,z\nx,x\n")
+    g = read_csv_graph(spark, str(tmp_path / "e.csv"))
+    assert "SortMergeJoin" not in g.edges._jdf.queryExecution().executedPlan().toString() and g.edges.count() == 3
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in read_csv_graph(spark, str(tmp_path / "e.csv")).edges._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -293,3 +293,27 @@ def test_names_of_a_csv_are_sent_to_its_edges(spark, tmp_path):
         assert "SortMergeJoin" not in read_csv_graph(spark, str(tmp_path / "e.csv")).edges._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_graphs_of_many_edges_and_few_vertices_are_searched_as_bits(spark):
+    from netmetrics.operators import levels, paths
+    from netmetrics.operators.betweenness import betweenness_estimate
+
+    rng = random.Random(3)
+    edges = [(rng.randint(1, 22), rng.randint(1, 22)) for _ in range(90)] + [(k, k + 1) for k in range(22, 30)] + [(40, 41)]
+    users = spark.createDataFrame([(k, str(k)) for k in [*range(1, 32), 40, 41]], "id long, name string")
+    e, some = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(1,), (22,), (40,), (99,)], "id long")
+    rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    for simplify in (True, False):
+        g, plain = Graph(users, e, simplify), Graph(users, e, simplify)
+        assert paths.arrays(g, 40) is None and isinstance(paths.held(g, 40), paths.Bits)
+        assert rows(shortest_paths(g, limit=40)) == rows(shortest_paths(plain))
+        assert rows(paths.distances(g, some, 40)) == rows(paths.distances(plain, some))
+        assert rows(paths.distance_histograms(g, 40)) == rows(paths.distance_histograms(plain))
+        assert rows(betweenness(g, limit=40)) == rows(betweenness(plain))
+        assert rows(betweenness(g, "undirected", some, 40)) == rows(betweenness(plain, "undirected", some))
+        assert rows(betweenness_estimate(g, 5, 3, 2, limit=40)) == rows(betweenness_estimate(plain, 5, 3, 2))
+        assert g.bucketed is None  # no levels by joins
+    assert rows(kp.greedy(g, 2, limit=40)) == rows(kp.greedy(plain, 2))
+    assert paths.held(g, 4) is None and paths.held(g, 0) is None  # too many vertices
+    assert isinstance(paths.held(Graph(users, e.unionByName(e), False), 40), type(None))  # too many repeated edges

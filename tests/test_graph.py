@@ -317,3 +317,15 @@ def test_graphs_of_many_edges_and_few_vertices_are_searched_as_bits(spark):
     assert rows(kp.greedy(g, 2, limit=40)) == rows(kp.greedy(plain, 2))
     assert paths.held(g, 4) is None and paths.held(g, 0) is None  # too many vertices
     assert isinstance(paths.held(Graph(users, e.unionByName(e), False), 40), type(None))  # too many repeated edges
+
+
+def test_crossprod_of_bits(spark):
+    from netmetrics.operators.local import crossprod
+
+    rng = random.Random(8)
+    e = spark.createDataFrame([(rng.randint(1, 25), rng.randint(1, 25)) for _ in range(120)] + [(30, 31)], "src long, dst long")
+    for simplify in (True, False):
+        want = sorted(map(tuple, crossprod(Graph.from_edges(e, simplify=simplify), limit=0).collect()))
+        got = crossprod(Graph.from_edges(e, simplify=simplify), limit=100)
+        assert sorted(map(tuple, got.collect())) == want
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()

@@ -197,3 +197,35 @@ def test_random_sources(spark):
     assert sum(abs(got[v]["betweenness"] - exact[v]) <= 4 * got[v]["error"] + 1e-9 for v in exact) >= 0.9 * n
     with pytest.raises(ValueError):
         betweenness_estimate(g, 0)
+
+
+def leafy(n=60):
+    """A path of three hubs with nearly all other vertices on them, two pairs apart, and one vertex alone."""
+    edges = [(1, 2), (2, 3)] + [(1 + v % 3, v) for v in range(4, n - 4)] + [(n - 1, n - 2), (n - 4, n - 3)]
+    return n, edges
+
+
+def test_leaves_are_not_searched_from(spark, monkeypatch):
+    n, edges = leafy()
+    g, asked, search = graph(spark, n, edges), [], levels.distance_levels
+    monkeypatch.setattr(levels, "distance_levels", lambda g, ids: asked.extend(ids) or search(g, ids))
+    monkeypatch.setattr(repair, "losses", lambda *_: pytest.fail("a forest has no edges to repair"))
+    _, want = plain_distances(n, edges)
+    assert {(r["s"], r["v"]): r["d"] for r in distances(g, limit=0).collect()} == {(s, v): x for s in want for v, x in want[s].items()}
+    count = {}
+    for s in want:
+        for x in want[s].values():
+            count[s, x] = count.get((s, x), 0) + 1
+    assert sorted(map(tuple, levels.distance_histograms(g).collect())) == sorted((*k, x) for k, x in count.items())
+    assert {r["src"]: r["loss"] for r in edge_losses(g, 0).where("dst > 3 and src > 3").collect()} == {n - 4: 1.0, n - 2: 1.0}
+    assert len(asked) <= 3 * n // levels.CORE  # before: every vertex, three times
+    small = graph(spark, n, edges)
+    a, b = ({(r["src"], r["dst"]): r["loss"] for r in edge_losses(x, k).collect()} for x, k in ((g, 0), (small, 10**6)))
+    assert a == pytest.approx(b)
+
+
+def test_leaves_by_size(spark):
+    n, edges = hubs()  # ties between the leaves: too few are left
+    assert levels.parted(graph(spark, n, edges)) is None
+    g = graph(spark, 3, [(1, 2), (1, 2), (2, 3)], simplify=False)
+    assert levels.parted(g) is None and levels.parted(graph(spark, 9, [(1, v) for v in range(2, 10)]))[1].count() == 8

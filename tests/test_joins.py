@@ -5,9 +5,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from netmetrics.graph import Graph
-from netmetrics.operators import forest, levels, local, repair
+from netmetrics.operators import dense, forest, levels, local, repair
 from netmetrics.operators import keyplayer as kp
 from netmetrics.operators.betweenness import betweenness, betweenness_estimate, drawn_sources
 from netmetrics.operators.bridging import edge_losses
@@ -229,3 +230,19 @@ def test_leaves_by_size(spark):
     assert levels.parted(graph(spark, n, edges)) is None
     g = graph(spark, 3, [(1, 2), (1, 2), (2, 3)], simplify=False)
     assert levels.parted(g) is None and levels.parted(graph(spark, 9, [(1, v) for v in range(2, 10)]))[1].count() == 8
+
+
+@pytest.mark.parametrize("simple", [True, False])
+def test_neighbourhoods_without_listed_triangles(spark, monkeypatch, simple):
+    rng = random.Random(8)
+    met = {(at, rng.randint(1, 150)) for at in range(60) for _ in range(10)} | {(60, 151), (61, 150), (61, 152), (62, 150), (62, 152)}
+    groups = spark.createDataFrame(sorted(met), "at long, u long")
+    users = groups.select(F.col("u").alias("id")).distinct().withColumn("name", F.col("id").cast("string"))
+    whole = lambda: [{r["id"]: r[2] for r in f(Graph.of_meetings(groups, users, simple)).collect()} for f in (local.ens, local.constraint)]
+    want = whole()
+    monkeypatch.setattr(dense, "LEAST", 0)
+    monkeypatch.setattr(dense, "COLUMNS", 64)
+    monkeypatch.setattr(dense, "ROWS", 40)
+    monkeypatch.setattr(local, "_triangles", lambda _: pytest.fail("triangles are listed"))
+    got = whole()
+    assert got == [pytest.approx(x, rel=1e-12) for x in want] and got[0][151] == 0.0 and len(got[0]) == len({u for _, u in met})

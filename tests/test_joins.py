@@ -8,11 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from netmetrics.graph import Graph
-from netmetrics.operators import dense, forest, levels, local, repair
+from netmetrics.operators import dense, forest, levels, local, repair, tiles
 from netmetrics.operators import keyplayer as kp
 from netmetrics.operators.betweenness import betweenness, betweenness_estimate, drawn_sources
 from netmetrics.operators.bridging import edge_losses
-from netmetrics.operators.paths import cohesion, cohesion_of, distances, shortest_paths
+from netmetrics.operators.paths import cohesion, cohesion_of, distance_histograms, distances, shortest_paths
 from netmetrics.sources.shared import stored
 from test_graph import distances as plain_distances
 from test_graph import graph
@@ -246,3 +246,42 @@ def test_neighbourhoods_without_listed_triangles(spark, monkeypatch, simple):
     monkeypatch.setattr(local, "_triangles", lambda _: pytest.fail("triangles are listed"))
     got = whole()
     assert got == [pytest.approx(x, rel=1e-12) for x in want] and got[0][151] == 0.0 and len(got[0]) == len({u for _, u in met})
+
+
+def meeting(spark, simple, seed=8):
+    """Users of random groups, a far end of several levels, a pair apart and a user alone."""
+    rng = random.Random(seed)
+    met = {(at, rng.randint(1, 150)) for at in range(60) for _ in range(10)} | {(60, 151), (61, 150), (61, 152), (62, 150), (62, 152), (63, 152), (63, 153), (64, 153), (64, 154), (65, 160), (65, 161)}
+    groups = spark.createDataFrame(sorted(met), "at long, u long")
+    users = groups.select(F.col("u").alias("id")).distinct().withColumn("name", F.col("id").cast("string"))
+    return lambda: Graph.of_meetings(groups, users, simple)
+
+
+@pytest.mark.parametrize("simple", [True, False])
+def test_searches_by_tiles(spark, monkeypatch, simple):
+    make = meeting(spark, simple)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    calls = {
+        "histograms": lambda k: rows(distance_histograms(make(), k)),
+        "distances": lambda k: rows(distances(make(), limit=k)),
+        "paths": lambda k: rows(shortest_paths(make(), limit=k)),
+        "betweenness": lambda k: {r["id"]: r["betweenness"] for r in betweenness(make(), limit=k).collect()},
+        "some": lambda k: {r["id"]: r["betweenness"] for r in betweenness(make(), "undirected", spark.createDataFrame([(3,), (154,), (999,)], "id long"), k).collect()},
+        "estimate": lambda k: {r["id"]: r[2:] for r in betweenness_estimate(make(), 12, 7, 5, limit=k).collect()},
+    }
+    want = {k: f(10**6) for k, f in calls.items()}
+    monkeypatch.setattr(dense, "LEAST", 0)
+    monkeypatch.setattr(dense, "BLOCKS", 2)
+    for name in ("dependencies", "path_counts", "distances", "distance_histograms"):
+        monkeypatch.setattr(levels, name, lambda *_: pytest.fail("searched by joins, a batch of sources at a time"))
+    got = {k: f(0) for k, f in calls.items()}
+    for k in ("histograms", "distances", "paths"):
+        assert got[k] == want[k], k
+    # a matrix that no task holds, rows of several pieces, batches of a few sources
+    monkeypatch.setattr(tiles, "HELD", 0)
+    monkeypatch.setattr(tiles, "ROWS", 40)
+    monkeypatch.setattr(tiles, "VALUES", 160)
+    got["tiles some"] = calls["some"](0)
+    for k in ("betweenness", "some", "tiles some"):
+        assert got[k] == pytest.approx(want[k.removeprefix("tiles ")]), k
+    assert got["estimate"].keys() == want["estimate"].keys() and all(x == pytest.approx(want["estimate"][v], abs=1e-6) for v, x in got["estimate"].items())

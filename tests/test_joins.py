@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from netmetrics.graph import Graph
-from netmetrics.operators import dense, forest, levels, local, repair, tiles
+from netmetrics.operators import dense, forest, levels, local, paths, repair, tiles
 from netmetrics.operators import keyplayer as kp
 from netmetrics.operators.betweenness import betweenness, betweenness_estimate, drawn_sources
-from netmetrics.operators.bridging import edge_losses
+from netmetrics.operators.bridging import bridging, edge_losses
 from netmetrics.operators.paths import cohesion, cohesion_of, distance_histograms, distances, shortest_paths
 from netmetrics.sources.shared import stored
 from test_graph import distances as plain_distances
@@ -285,3 +285,27 @@ def test_searches_by_tiles(spark, monkeypatch, simple):
     for k in ("betweenness", "some", "tiles some"):
         assert got[k] == pytest.approx(want[k.removeprefix("tiles ")]), k
     assert got["estimate"].keys() == want["estimate"].keys() and all(x == pytest.approx(want["estimate"][v], abs=1e-6) for v, x in got["estimate"].items())
+
+
+def test_losses_by_sources(spark, monkeypatch):
+    n, edges = grids(3)
+    edges = [*edges, (1, n + 1), (n + 1, n + 2), (2, 3), (n + 4, n + 5), (n + 5, n + 6), (n + 6, n + 4)]  # bridges, a component apart, a vertex alone
+    for simple, more in ((True, []), (False, [(1, 2), (n, n - 1)])):
+        make = lambda: graph(spark, n + 6, edges + more, simple)  # noqa: E731, B023
+        losses = lambda *k: {tuple(r)[:2]: r["loss"] for r in edge_losses(make(), *k).collect()}
+        want = losses()
+        monkeypatch.setattr(repair, "losses", lambda *_: pytest.fail("repaired by joins, a batch of sources at a time"))
+        assert losses(10**6, 0) == pytest.approx(want)
+        monkeypatch.setattr(paths, "SEARCHED", 0)
+        assert losses(0, 0) == pytest.approx(want)
+
+
+def test_bridging_of_bits(spark, monkeypatch):
+    make = meeting(spark, True)
+    score = lambda *k: {r["id"]: r["bridging"] for r in bridging(make(), *k).collect()}
+    want = score()
+    monkeypatch.setattr(repair, "losses", lambda *_: pytest.fail("repaired by joins, a batch of sources at a time"))
+    assert score(400) == pytest.approx(want)  # too few edges for arrays, but for bits
+    monkeypatch.setattr(dense, "LEAST", 0)
+    monkeypatch.setattr(dense, "BLOCKS", 2)
+    assert score(0) == pytest.approx(want)

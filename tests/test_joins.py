@@ -309,3 +309,22 @@ def test_bridging_of_bits(spark, monkeypatch):
     monkeypatch.setattr(dense, "LEAST", 0)
     monkeypatch.setattr(dense, "BLOCKS", 2)
     assert score(0) == pytest.approx(want)
+
+
+def test_rows_of_paths_lie_by_vertex(spark):
+    n, edges = hubs()
+    g = graph(spark, n, edges)
+    for df in (shortest_paths(g), distances(g)):
+        rows = [[r["v"] for r in own] for own in df.rdd.glom().collect()]
+        runs = sum(sum(a != b for a, b in itertools.pairwise(own)) + 1 for own in rows if own)
+        assert sum(map(len, rows)) > 5 * runs  # by source no two rows in a row have one vertex
+
+
+def test_triangles_by_tiles(spark, monkeypatch):
+    make = meeting(spark, True)
+    want = sorted(map(tuple, local.triangles(make()).collect()))
+    monkeypatch.setattr(dense, "LEAST", 0)
+    monkeypatch.setattr(dense, "BLOCKS", 3)
+    monkeypatch.setattr(dense, "LISTED", 50)
+    monkeypatch.setattr(local, "_triangles", lambda _: pytest.fail("wedges are joined"))
+    assert sorted(map(tuple, local.triangles(make()).collect())) == want and len(want) > 100

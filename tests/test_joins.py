@@ -328,3 +328,17 @@ def test_triangles_by_tiles(spark, monkeypatch):
     monkeypatch.setattr(dense, "LISTED", 50)
     monkeypatch.setattr(local, "_triangles", lambda _: pytest.fail("wedges are joined"))
     assert sorted(map(tuple, local.triangles(make()).collect())) == want and len(want) > 100
+
+
+def test_few_are_searched_for_key_players(spark, monkeypatch):
+    from netmetrics.operators import swaps
+
+    n, edges = leafy(90)
+    edges = [*edges, *((v, v + 1) for v in range(4, 80))]
+    want = sorted(r["id"] for r in kp.greedy(graph(spark, n, edges), 2).collect())
+    g, asked, search = graph(spark, n, edges), set(), levels.distance_levels
+    monkeypatch.setattr(levels, "distance_levels", lambda g, ids: asked.update(ids) or search(g, ids))
+    real = swaps.best_singles
+    monkeypatch.setattr(swaps, "best_singles", lambda g, k, most: real(g, k, most, 4))
+    assert sorted(r["id"] for r in kp.greedy(g, 2, limit=0).collect()) == want
+    assert len(asked) < n / 2  # before: every vertex

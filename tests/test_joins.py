@@ -342,3 +342,12 @@ def test_few_are_searched_for_key_players(spark, monkeypatch):
     monkeypatch.setattr(swaps, "best_singles", lambda g, k, most: real(g, k, most, 4))
     assert sorted(r["id"] for r in kp.greedy(g, 2, limit=0).collect()) == want
     assert len(asked) < n / 2  # before: every vertex
+
+
+def test_leaves_are_no_candidates_for_first_members(spark, monkeypatch):
+    from netmetrics.operators import swaps
+
+    n, edges = leafy(90)
+    want = sorted(r["id"] for r in kp.greedy(graph(spark, n, edges), 2).collect())
+    monkeypatch.setattr(swaps, "best_singles", lambda *_: pytest.fail("leaves are searched from, a batch at a time"))
+    assert sorted(r["id"] for r in kp.greedy(graph(spark, n, edges), 2, limit=0).collect()) == want

@@ -351,3 +351,17 @@ def test_leaves_are_no_candidates_for_first_members(spark, monkeypatch):
     want = sorted(r["id"] for r in kp.greedy(graph(spark, n, edges), 2).collect())
     monkeypatch.setattr(swaps, "best_singles", lambda *_: pytest.fail("leaves are searched from, a batch at a time"))
     assert sorted(r["id"] for r in kp.greedy(graph(spark, n, edges), 2, limit=0).collect()) == want
+
+
+def test_swaps_list_no_pairs(spark, monkeypatch):
+    n, edges = leafy(70)
+    g, sets = graph(spark, n, edges), [1, 5, n - 2]
+    rows = lambda x: {(r["u"], r["v"]): r["fit"] for r in x.collect()}
+    want = rows(kp.swap_fits(g, sets, shortest_paths(g)))
+    assert len(want) == 3 * (n - 3)
+    asked, near = [], kp.distances
+    monkeypatch.setattr(kp, "shortest_paths", lambda *_, **__: pytest.fail("all pairs are listed"))
+    monkeypatch.setattr(kp, "distances", lambda g, sources, limit: asked.append(sources.count()) or near(g, sources, limit))
+    assert rows(kp.swap_fits(g, sets)) == pytest.approx(want) and not asked
+    monkeypatch.setattr(kp, "SEARCHED", 0)
+    assert rows(kp.swap_fits(g, sets)) == pytest.approx(want) and sum(asked) <= 3 + n // levels.CORE

@@ -365,3 +365,34 @@ def test_swaps_list_no_pairs(spark, monkeypatch):
     assert rows(kp.swap_fits(g, sets)) == pytest.approx(want) and not asked
     monkeypatch.setattr(kp, "SEARCHED", 0)
     assert rows(kp.swap_fits(g, sets)) == pytest.approx(want) and sum(asked) <= 3 + n // levels.CORE
+
+
+@pytest.mark.parametrize("simple", [True, False])
+def test_common_neighbours_by_tiles(spark, monkeypatch, simple):
+    make = meeting(spark, simple)
+    rows = lambda f: sorted(map(tuple, f(make()).collect()))
+    calls = [local.shared_neighbors, lambda g: local.crossprod(g, limit=0), *([local.sparse_triple] if simple else [])]
+    want = [rows(f) for f in calls]
+    monkeypatch.setattr(dense, "LEAST", 0)
+    monkeypatch.setattr(dense, "BLOCKS", 3)
+    monkeypatch.setattr(dense, "COLUMNS", 64)
+    monkeypatch.setattr(dense, "ROWS", 40)
+    monkeypatch.setattr(dense, "LISTED", 50)
+    monkeypatch.setattr(dense, "WORDS", 2)
+    monkeypatch.setattr(local, "_triangles", lambda _: pytest.fail("triangles are joined"))
+    monkeypatch.setattr(Graph, "adjacency", lambda _: pytest.fail("pairs are joined"))
+    assert [rows(f) for f in calls] == want and len(want[0]) > 100
+
+
+def test_matrix_is_not_padded_by_degree(spark):
+    """Of vertices of many degrees the columns took a word for each degree, and the rows too."""
+    import numpy as np
+    import pyarrow as pa
+
+    at = dense.Layout(pa.table({"id": np.arange(1000), "degree": np.arange(1000) // 2 + 1}), 4)
+    assert 64 * at.words * at.blocks == 1024
+    words, bits, weight = at.parts()
+    whole = np.zeros(16, np.uint64)
+    np.bitwise_or.at(whole, words, bits)
+    assert int(np.bitwise_count(whole).sum()) == 1000 == int(np.bitwise_count(bits).sum())
+    assert float(np.bitwise_count(bits) @ weight) == pytest.approx(float(at.weight.sum()))
